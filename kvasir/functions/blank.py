@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MISSING_WORDS = ("null", "none", "nan", "undefined", "nil", "na", "n/a")
 
 # Neither a letter nor a digit nor a symbol that carries meaning of its own: separators, controls, formats, marks, punctuation.
-_IDLE = r"[\p{Z}\p{C}\p{P}\p{M}\s`|<>~^+=$]+"
+IDLE = r"[\p{Z}\p{C}\p{P}\p{M}\s`|<>~^+=$]+"
 
 
 def is_blank(text: Column) -> Column:
@@ -17,5 +17,5 @@ def is_blank(text: Column) -> Column:
 
     Never null. A missing-value word counts in any letter case and within punctuation (``<null>``, ``"None"``).
     """
-    bare = F.lower(F.regexp_replace(text, _IDLE, ""))
+    bare = F.lower(F.regexp_replace(text, IDLE, ""))
     return F.coalesce(bare.isin("", *(w.replace("/", "") for w in MISSING_WORDS)), F.lit(True))
