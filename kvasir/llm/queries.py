@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvasir.functions.blank import IDLE, MISSING_WORDS
+from kvasir.llm.conversations import conversations
+from kvasir.llm.mixing import mix, reached_shares
 from kvasir.llm.neighbours import similar_pairs
+from kvasir.llm.tokens import count_tokens, encode
 from kvasir.sources.tables import table
 
 
@@ -15,5 +19,60 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(faq)
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of the conversations that are kept."""
+    return conversations(table(spark, d, "chat_history")).select("session", "pos", "role", "id")
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and first position of each stretch of a conversation without a long pause."""
+    found = conversations(table(spark, d, "chat_history"))
+    return found.groupBy("session", "segment").agg(F.count(F.lit(1)).alias("messages"), F.min("pos").alias("first_pos"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, d, "documents"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mix(count_tokens(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix, in training order."""
+    return _mixed(spark, d)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the mix."""
+    return reached_shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+def _blank(column: str) -> str:
+    words = ", ".join(f"'{w.replace('/', '')}'" for w in ("", *MISSING_WORDS))
+    return f"coalesce(lower(regexp_replace({column}, '{IDLE}', '', 'g')) in ({words}), true)"
+
+
+_CONVERSATIONS = rf"""
+with r as (
+  select distinct lower(regexp_replace(sessionId, '^[\s\p{{Z}}\p{{C}}]+|[\s\p{{Z}}\p{{C}}]+$', '', 'g')) s,
+    id, userId, query q, response a, createdAt c,
+    {_blank("query")} or {_blank("response")} or coalesce(year(createdAt) not between 2020 and 2030, true) bad
+  from chat_history where not {_blank("sessionId")}),
+kept as (select s from r group by s having not bool_or(bad) and (min(userId) is null or min(userId) = max(userId))),
+o as (select *, coalesce(c - lag(c) over (partition by s, q, a order by c, id) <= interval 10 seconds, false) again from r semi join kept using (s)),
+n as (select *, row_number() over (partition by s order by c, id) n from o where not again)
+"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
+ORACLES = {
+    "p4_found": _CONVERSATIONS + "select s session, 2 * n - 1 + m pos, case m when 0 then 'user' else 'assistant' end \"role\", id from n, (values (0), (1)) v(m)",
+}
