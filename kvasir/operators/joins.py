@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 200  # a key is hot if it has more than one in so many rows; so there are fewer hot keys than this
+HOT_KEYS = 64  # so many keys are looked up by broadcast; any other has less than one row in so many
 
 
-def skew_left_join(left: DataFrame, right: DataFrame, key: str, hot_share: int = HOT_SHARE) -> DataFrame:
+def hottest_keys(df: DataFrame, key: str, most: int = HOT_KEYS) -> list:
+    """The ``most`` most frequent non-null values of a column, counted over all rows."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counts.orderBy(F.desc("_n"), key).limit(most).collect()]
+
+
+def skew_left_join(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
     """``left`` left-joined to ``right`` on the column ``key``, of which ``right`` has each value once.
 
-    Keys with more than one in ``hot_share`` rows of ``left`` (fewer than ``hot_share`` keys, whatever the size) are
-    looked up in a broadcast of their own rows of ``right``; all other rows meet in a shuffle, in which no key is hot.
-    Null keys match nothing. Column names other than ``key`` must not clash.
+    The rows of ``right`` for the keys ``hot`` (at most :data:`HOT_KEYS` rows, whatever the size; by default the most
+    frequent keys of ``left``) are broadcast; all other rows meet in a shuffle, in which no key is hot. Null keys match
+    nothing. Column names other than ``key`` must not clash.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.select(F.count(F.lit(1)).alias("_total"))
-    limit = total.collect()[0][0] / hot_share
-    hot = counts.where(F.col("_n") > limit).select(key).limit(hot_share)  # the limit changes nothing: it is the proven bound
-    hot_keys = [r[0] for r in hot.collect()]
-    if not hot_keys:
+    hot = hottest_keys(left, key) if hot is None else hot
+    if not hot:
         return left.join(right, key, "left")
-    is_hot = F.coalesce(F.col(key).isin(hot_keys), F.lit(False))
-    warm = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot_keys))), key, "left")
-    cold = left.where(~is_hot).join(right.where(~F.col(key).isin(hot_keys)), key, "left")
+    if len(hot) > HOT_KEYS:
+        raise ValueError(f"more than {HOT_KEYS} hot keys")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    warm = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, "left")
+    cold = left.where(~is_hot).join(right.where(~F.col(key).isin(hot)), key, "left")
     return warm.unionByName(cold)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvasir.functions.bloom import bloom_filter, might_contain
-from kvasir.operators.joins import skew_left_join
+from kvasir.operators.joins import hottest_keys, skew_left_join
 
 
 class Reference(NamedTuple):
@@ -59,14 +59,15 @@ def broken_references(tables: dict[str, DataFrame], deletions: DataFrame, refere
                 for r in own
             ],
         ).where("key is not null")
+        hot = hottest_keys(refs, "key")
         maybe = might_contain(refs, bloom, F.col("key"))
         surely = refs.where(~maybe).withColumns({"late": F.lit(False), "absent": F.lit(True)})
         exact = keys.groupBy("key").agg(F.min("target_created").alias("target_created"), F.lit(True).alias("present"))
-        passed = skew_left_join(refs.where(maybe), exact, "key")
+        passed = skew_left_join(refs.where(maybe), exact, "key", hot)
         late = F.coalesce(F.col("target_created") > F.col("created"), F.lit(False))
         passed = passed.withColumns({"late": late, "absent": F.col("present").isNull()}).where("late or absent")
         orphans = passed.select(surely.columns).unionByName(surely)
-        judged = skew_left_join(orphans, log.where(F.col("entity") == entity).drop("entity"), "key")
+        judged = skew_left_join(orphans, log.where(F.col("entity") == entity).drop("entity"), "key", hot)
         kind = F.when(~F.col("absent"), "late").when(F.col("in_log"), "deleted").otherwise("missing")
         found.append(judged.select("src", "id", kind.alias("kind"), "created"))
     return reduce(DataFrame.unionByName, found).dropDuplicates(["src", "id"])
