@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from kvasir.functions.blank import IDLE, MISSING_WORDS
 from kvasir.llm.conversations import conversations
+from kvasir.llm.defects import defective_pairs
 from kvasir.llm.mixing import mix, reached_shares
 from kvasir.llm.neighbours import similar_pairs
+from kvasir.llm.residue import residue_scores
 from kvasir.llm.tokens import count_tokens, encode
-from kvasir.sources.tables import table
+from kvasir.sources.tables import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,13 +32,25 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("session", "segment").agg(F.count(F.lit(1)).alias("messages"), F.min("pos").alias("first_pos"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose response is a bad answer, with the defect."""
+    return defective_pairs(table(spark, d, "chat_history"), table(spark, d, "documents"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each defect by source of the exchange."""
+    chat = table(spark, d, "chat_history").select("id", "source").dropDuplicates(["id"])
+    found = p5_found(spark, d).join(chat, "id")
+    return found.groupBy("source", "defect").agg(F.count(F.lit(1)).alias("records"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, d, "documents"))
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return mix(count_tokens(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return mix(cut(count_tokens(table(spark, d, "documents"))), table(spark, d, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +63,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with template residue or error-page text."""
+    return residue_scores(table(spark, d, "documents")).where("score > 0").select("doc_id").distinct()
+
+
 def _blank(column: str) -> str:
     words = ", ".join(f"'{w.replace('/', '')}'" for w in ("", *MISSING_WORDS))
     return f"coalesce(lower(regexp_replace({column}, '{IDLE}', '', 'g')) in ({words}), true)"
@@ -69,9 +88,12 @@ QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 ORACLES = {
     "p4_found": _CONVERSATIONS + "select s session, 2 * n - 1 + m pos, case m when 0 then 'user' else 'assistant' end \"role\", id from n, (values (0), (1)) v(m)",
