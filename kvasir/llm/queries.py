@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvasir.functions.blank import IDLE, MISSING_WORDS
+from kvasir.llm.abuse import abuse_rates, abuse_scores
 from kvasir.llm.conversations import conversations
 from kvasir.llm.defects import defective_pairs
 from kvasir.llm.mixing import mix, reached_shares
@@ -21,6 +22,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(faq)
 
 
+ABUSE_THRESHOLD = 0.75
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every query and response."""
+    scores = abuse_scores(table(spark, d, "chat_history"), table(spark, d, "review_labels"))
+    return scores.select("id", "field", "source", *(F.round(c, 4).alias(c) for c in ("abuse", "hate", "sexual", "score")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and responses with abusive, hateful or sexual content."""
+    scores = abuse_scores(table(spark, d, "chat_history"), table(spark, d, "review_labels"))
+    return scores.where(F.col("score") >= ABUSE_THRESHOLD).select("id", "field")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of such texts by source and field."""
+    return abuse_rates(abuse_scores(table(spark, d, "chat_history"), table(spark, d, "review_labels")), ABUSE_THRESHOLD)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Messages of the conversations that are kept."""
     return conversations(table(spark, d, "chat_history")).select("session", "pos", "role", "id")
@@ -86,6 +107,9 @@ n as (select *, row_number() over (partition by s order by c, id) n from o where
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_scores": p3_scores,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p5_found": p5_found,
