@@ -30,6 +30,7 @@ GRAM_BITS = 15  # buckets of character n-grams
 PHRASE_BITS = 19  # buckets of longer ones
 END_BITS = 20  # buckets of word contexts
 LANGUAGES = 16  # the most frequent marks of the corpus are its languages, if they have one row in 200
+_KEEP = 100_000  # sentences that a worker remembers
 LEAST_LETTERS = 5  # texts with fewer letters have no language
 REFUSES = 0.27  # log odds a gram from which a sentence refuses
 SURE = 4.0  # log odds from which a language is taken as known
@@ -37,6 +38,7 @@ _CODE = regex.compile(r"https?://\S+|\b\p{Lu}{1,4}-\d[\d-]*\b|\d[\d.,]*", regex.
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 _TOKENS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*|0|[^\s\p{L}0]|\n")
 _ENDS = frozenset(".!?…\n")
+_STOP = "\ue001"  # between texts that are read together
 _HIDDEN = regex.compile(r"\p{Cf}")
 _SENTENCES = regex.compile(r"(?<=[.!?…])\s+|\n+")
 _TAIL = regex.compile(r"[\s\p{So}\p{Sk}\p{Cf}️*_]+$")
@@ -49,47 +51,70 @@ _LIST = regex.compile(r"^\s*(?:[-–•*]|\d{1,3}[.)])\s+")
 
 def plain(text: str) -> str:
     """Compatibility forms composed, invisible characters dropped."""
-    return _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    return text if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
 
 
-def grams(text: str, least: int = 1, most: int = 3, bits: int = GRAM_BITS) -> np.ndarray:
-    """The buckets of a text's letter grams, within and across words; codes, numbers and links are left out."""
-    words = " ".join(_LETTERS.findall(_CODE.sub(" ", text).lower()))
-    if not words:
-        return np.zeros(0, np.int64)
+_seen: dict[str, str] = {}  # the words of sentences, as many come again
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences and lines of a text, each as its words in lower case; codes, numbers and links are left out."""
+    found = []
+    for part in _SENTENCES.split(_CODE.sub("0", text.lower())):
+        words = _seen.get(part)
+        if words is None:
+            if len(_seen) > _KEEP:
+                _seen.clear()
+            words = _seen[part] = " ".join(_LETTERS.findall(part))
+        if words:
+            found.append(words)
+    return found
+
+
+def grams(words: str, least: int = 1, most: int = 3, bits: int = GRAM_BITS) -> np.ndarray:
+    """The buckets of the letter grams of a sentence from :func:`sentences`, within and across words."""
     c = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     h, found = np.zeros(len(c), np.int64), []
-    for n in range(1, most + 1):
+    for n in range(1, min(most, len(c)) + 1):
         h = (h[: len(c) - n + 1] * 1_000_003 + c[n - 1 :]) & 0x7FFFFFFFFFF
-        if n >= least and len(h):
+        if n >= least:
             found.append((h + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF)
-        if not len(h):
-            break
-    return (np.concatenate(found) if found else h) >> (63 - bits)
+    return np.concatenate(found or [h[:0]]) >> (63 - bits)
 
 
-class Bayes:
-    """Naive Bayes over hashed character grams."""
+def phrase(words: str) -> np.ndarray:
+    """The longer grams, by which phrases are told apart."""
+    return grams(words, 3, 6, PHRASE_BITS)
 
-    def __init__(self, names: list[str], counts: np.ndarray, smooth: float = 0.3):
-        self.names = names
-        self.log = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * counts.shape[1]))
 
-    def scores(self, g: np.ndarray) -> np.ndarray:
-        """The log likelihood of each class; a third of the grams' sum, as grams of three lengths overlap."""
-        return self.log[:, g].sum(1) / 3
+class Bayes:
+    """Naive Bayes over hashed character grams. The scores of sentences are remembered, as many come again."""
 
-    def sure(self, text: str) -> str | None:
-        """The class of a text if it is known."""
-        g = grams(text)
-        if len(self.names) < 2 or sum(map(str.isalpha, _CODE.sub(" ", text))) < LEAST_LETTERS:
+    def __init__(self, names: list[str], counts: np.ndarray, smooth: float = 0.3, take=grams):
+        self.names, self.take = names, take
+        self.log = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * counts.shape[1]))
+        self.known: dict[str, tuple[np.ndarray, int]] = {}
+
+    def scores(self, words: str) -> tuple[np.ndarray, int]:
+        """The log likelihood of each class and the number of grams; a third of the sum, as grams of several lengths overlap."""
+        found = self.known.get(words)
+        if found is None:
+            g = self.take(words)
+            if len(self.known) > _KEEP:
+                self.known.clear()
+            found = self.known[words] = (self.log[:, g].sum(1) / 3, len(g))
+        return found
+
+    def sure(self, parts: list[str]) -> str | None:
+        """The class of a text, given by its sentences, if it is known."""
+        if len(self.names) < 2 or sum(map(len, parts)) < LEAST_LETTERS:
             return None
-        s = self.scores(g)
+        s = sum((self.scores(p)[0] for p in parts), np.zeros(len(self.names)))
         order = np.argsort(s)
         return self.names[order[-1]] if s[order[-1]] - s[order[-2]] >= SURE else None
 
 
-def _buckets(df: DataFrame, columns: list[str], count, schema_key: str) -> dict:
+def _buckets(df: DataFrame, columns: list[str], count) -> dict:
     """Sums over all rows of what ``count`` gives for a batch, a counter of ``(key, bucket)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +128,18 @@ def _buckets(df: DataFrame, columns: list[str], count, schema_key: str) -> dict:
     return {(k, b): n for k, b, n in zip(rows["key"].to_pylist(), rows["bucket"].to_pylist(), rows["n"].to_pylist())}
 
 
+def _weighted(own: Counter, take) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of counted sentences, and how often each comes."""
+    each = [take(w) for w in own]
+    return np.concatenate(each), np.repeat(list(own.values()), [len(g) for g in each])
+
+
+def _add(total: Counter, key: str, buckets: np.ndarray, weights: np.ndarray | None = None) -> None:
+    own, back = np.unique(buckets, return_inverse=True)
+    for i, k in zip(own.tolist(), np.bincount(back, weights).tolist()):
+        total[key, i] += int(k)
+
+
 def fit_languages(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Bayes:
     """The language model of a corpus with language marks, some of which may be absent or wrong."""
     mark = F.lower(F.trim(lang_col))
@@ -112,17 +149,16 @@ def fit_languages(corpus: DataFrame, text_col: str = "text", lang_col: str = "la
     known = set(names)
 
     def count(total: Counter, texts: list, langs: list) -> None:
-        sums = {n: np.zeros(1 << GRAM_BITS, np.int64) for n in known}
+        by: dict[str, Counter] = {}
         for t, m in zip(texts, langs):
             if t and m in known:
-                sums[m] += np.bincount(grams(plain(t)), minlength=1 << GRAM_BITS)
-        for n, s in sums.items():
-            for i in np.flatnonzero(s).tolist():
-                total[n, i] += int(s[i])
+                by.setdefault(m, Counter()).update(sentences(plain(t)))
+        for n, own in by.items():
+            _add(total, n, *_weighted(own, grams))
 
     counts = np.zeros((len(names), 1 << GRAM_BITS))
     if names:
-        for (n, i), k in _buckets(corpus.withColumn(lang_col, mark), [text_col, lang_col], count, "lang").items():
+        for (n, i), k in _buckets(corpus.withColumn(lang_col, mark), [text_col, lang_col], count).items():
             counts[names.index(n), i] = k
     return Bayes(names, counts)
 
@@ -132,14 +168,34 @@ def words_of(text: str) -> list[str]:
     return [w if w == "\n" else w.lower() for w in _TOKENS.findall(_CODE.sub(" 0 ", text))]
 
 
-def _contexts(words: list[str], i: int) -> list[int]:
-    """The buckets of the three, two and one words up to place ``i``, of one line and without the sentence before."""
-    keys, lo = [], i
-    while lo > 0 and i - lo < 2 and words[lo - 1] not in _ENDS:
-        lo -= 1
-    for a in range(lo, i + 1):
-        keys.append(zlib.crc32(" ".join(words[a : i + 1]).encode()) >> (32 - END_BITS))
-    return keys
+_known: dict[str, int] = {}
+
+
+def _numbers(words: list[str]) -> np.ndarray:
+    """A number for each word, the same in every process."""
+    if len(_known) > 500_000:
+        _known.clear()
+    out = []
+    for w in words:
+        n = _known.get(w)
+        if n is None:
+            n = _known[w] = zlib.crc32(w.encode())
+        out.append(n)
+    return np.array(out, np.int64)
+
+
+def _contexts(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of the one, two and three words up to each place, and where they lie within one sentence and line."""
+    found, key, good = [], np.zeros(len(h), np.int64), np.ones(len(h), bool)
+    for n in range(3):
+        if n >= len(h):
+            break
+        back, open_ = np.roll(h, n), np.roll(~ends, n)
+        back[:n], open_[:n] = 0, False
+        good = good & (open_ | (n == 0))
+        key = (key * 1_000_003 + back) & 0x7FFFFFFFFFF
+        found.append((((key + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - END_BITS), good))
+    return found
 
 
 class Ends:
@@ -150,68 +206,61 @@ class Ends:
 
     def chance(self, words: list[str]) -> float:
         """The share of places after these words at which something ends, from the longest context seen three times."""
-        for key in _contexts(words, len(words) - 1):
-            if self.seen[key] >= 3:
-                return float(self.ended[key] / self.seen[key])
+        last = words[-3:]
+        for key, good in reversed(_contexts(_numbers(last), np.array([w in _ENDS for w in last]))):
+            if good[-1] and self.seen[key[-1]] >= 3:
+                return float(self.ended[key[-1]] / self.seen[key[-1]])
         return 0.0
 
 
 def _count_ends(total: Counter, texts: list) -> None:
-    for t in texts:
-        if not t:
-            continue
-        words = words_of(plain(t))
-        for i in range(len(words) - 1):
-            if words[i] in _ENDS or words[i] == "|":
-                continue
-            ends = words[i + 1] in _ENDS
-            for key in _contexts(words, i):
-                total["seen", key] += 1
-                if ends:
-                    total["ended", key] += 1
-
-
-def fit_ends(df: DataFrame, text_col: str) -> Ends:
-    """The end-of-text model of all texts of a column."""
-    arrays = {"seen": np.zeros(1 << END_BITS, np.int64), "ended": np.zeros(1 << END_BITS, np.int64)}
-    for (k, i), n in _buckets(df, [text_col], _count_ends, "end").items():
-        arrays[k][i] = n
-    return Ends(arrays["ended"], arrays["seen"])
-
-
-def phrase(text: str) -> np.ndarray:
-    """The longer grams, by which phrases are told apart."""
-    return grams(text, 3, 6, PHRASE_BITS)
+    words = words_of(plain(_STOP.join(t for t in texts if t)))
+    if len(words) < 2:
+        return
+    ends = np.array([w in _ENDS for w in words])
+    cut = np.array([w == _STOP or w == "|" for w in words])
+    ends |= cut
+    counted = ~ends[:-1] & ~cut[1:]  # the end of a text counts neither way, it may be a broken one
+    for key, good in _contexts(_numbers(words), ends):
+        for name, where in (("seen", counted & good[:-1]), ("ended", counted & good[:-1] & ends[1:])):
+            _add(total, name, key[:-1][where])
 
 
-def fit_refusals(df: DataFrame, text_col: str) -> Bayes:
-    """Refusals, polite phrases and, as background, all texts of a column."""
+def fit_responses(df: DataFrame, text_col: str) -> tuple[Ends, Bayes]:
+    """In one pass over a column, its end-of-text model, and the classes of refusals, polite phrases and, as background, all texts."""
 
     def count(total: Counter, texts: list) -> None:
-        s = np.zeros(1 << PHRASE_BITS, np.int64)
+        _count_ends(total, texts)
+        own: Counter = Counter()
         for t in texts:
-            if t:
-                s += np.bincount(phrase(plain(t)), minlength=1 << PHRASE_BITS)
-        for i in np.flatnonzero(s).tolist():
-            total["answer", i] += int(s[i])
+            own.update(sentences(plain(t)) if t else ())
+        if own:
+            _add(total, "answer", *_weighted(own, phrase))
 
+    ended, seen = np.zeros(1 << END_BITS, np.int64), np.zeros(1 << END_BITS, np.int64)
     counts = np.zeros((3, 1 << PHRASE_BITS))
-    for (_, i), k in _buckets(df, [text_col], count, "answer").items():
-        counts[0, i] = k
+    arrays = {"ended": ended, "seen": seen, "answer": counts[0]}
+    for (key, i), n in _buckets(df, [text_col], count).items():
+        arrays[key][i] = n
     for row, block in ((1, REFUSAL), (2, POLITE)):
         for line in block.strip().split("\n"):
-            counts[row] += np.bincount(phrase(line), minlength=1 << PHRASE_BITS)
+            for words in sentences(line):
+                counts[row] += np.bincount(phrase(words), minlength=1 << PHRASE_BITS)
     # Labelled sentences are few: what they don't say is half the time said as in the background.
     share = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
     share[1:] = (counts[1:] / counts[1:].sum(1, keepdims=True) + share[0]) / 2
-    return Bayes(["answer", "refusal", "polite"], share, smooth=0.0)
+    return Ends(ended, seen), Bayes(["answer", "refusal", "polite"], share, 0.0, phrase)
 
 
 def is_copy(prompt: str, response: str) -> bool:
     """Whether a response is the prompt, once or repeatedly, with nothing else but words that introduce it."""
-    want, have = [_LETTERS_OR_DIGITS.findall(plain(t).lower()) for t in (prompt, response)]
-    if not want or len(have) < len(want):
+    want = _LETTERS_OR_DIGITS.findall(prompt.lower())
+    if not want or len(response) < len(want):
         return False
+    head = response[: 200 + len(want[0])].lower()  # room for the few words that may come before the prompt
+    if want[0] not in head and "".join(want)[:8] not in "".join(_LETTERS_OR_DIGITS.findall(head)):
+        return False
+    have = _LETTERS_OR_DIGITS.findall(response.lower())
     rest, i, found = [], 0, False
     while i < len(have):
         if have[i : i + len(want)] == want:
@@ -228,14 +277,14 @@ def is_copy(prompt: str, response: str) -> bool:
 _LETTERS_OR_DIGITS = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def is_refusal(response: str, model: Bayes) -> bool:
-    """Whether a response has a refusing sentence and none that answers."""
+def is_refusal(parts: list[str], model: Bayes) -> bool:
+    """Whether a response, given by its sentences, has a refusing one and none that answers."""
     refused = False
-    for sentence in _SENTENCES.split(plain(response).strip()):
-        g = phrase(sentence)
-        if len(g) < 9:
+    for words in parts:
+        s, n = model.scores(words)
+        if n < 9:
             continue
-        answer, refusal, polite = model.scores(g) / len(g)
+        answer, refusal, polite = s / n
         if refusal - answer >= REFUSES and refusal > polite:
             refused = True
         elif polite <= answer:
@@ -245,7 +294,9 @@ def is_refusal(response: str, model: Bayes) -> bool:
 
 def is_truncated(response: str, ends: Ends, least: float = 0.3) -> bool:
     """Whether a response breaks off before its last sentence, list or table is complete."""
-    text = _TAIL.sub("", plain(response))
+    if response.rstrip()[-1:] in (".", "!", "?", "…"):
+        return False
+    text = _TAIL.sub("", response)
     lines = [line for line in text.split("\n") if line.strip()]
     if not lines:
         return False
@@ -267,16 +318,16 @@ def is_truncated(response: str, ends: Ends, least: float = 0.3) -> bool:
 
 def asked_language(prompt: str) -> set[str]:
     """The languages that a prompt names."""
-    low = plain(prompt).lower()
+    low = prompt.lower()
     return {lang for lang, names in LANGUAGE_NAMES.items() if any(n in low for n in names)}
 
 
-def is_other_language(prompt: str, response: str, languages: Bayes) -> bool:
-    """Whether the response's language is known and neither the prompt's known one nor one that it names."""
-    ours = languages.sure(plain(prompt))
+def is_other_language(prompt: str, parts: list[str], languages: Bayes) -> bool:
+    """Whether the language of a response, given by its sentences, is known and neither the prompt's known one nor one that it names."""
+    ours = languages.sure(sentences(prompt))
     if ours is None:
         return False
-    theirs = languages.sure(plain(response))
+    theirs = languages.sure(parts)
     return theirs is not None and theirs != ours and theirs not in asked_language(prompt)
 
 
@@ -293,15 +344,16 @@ def defective_pairs(
     """
     rows = df.select(id_col, prompt_col, response_col).dropDuplicates([id_col])
     filled = df.where(~is_blank(F.col(response_col)))
-    languages, ends, refusals = fit_languages(corpus), fit_ends(filled, response_col), fit_refusals(filled, response_col)
+    languages, (ends, refusals) = fit_languages(corpus), fit_responses(filled, response_col)
 
     def judge(prompt: str | None, response: str) -> str | None:
-        prompt = prompt or ""
+        prompt, response = plain(prompt or ""), plain(response)
         if is_copy(prompt, response):
             return "copy"
-        if is_refusal(response, refusals):
+        parts = sentences(response)
+        if is_refusal(parts, refusals):
             return "refusal"
-        if is_other_language(prompt, response, languages):
+        if is_other_language(prompt, parts, languages):
             return "other_language"
         return "truncated" if is_truncated(response, ends) else None
 
