@@ -91,7 +91,7 @@ def section_title(title: Column, most: int = 300) -> Column:
 
 def table_cell(value: Column) -> Column:
     """A table cell as text: bars escaped, white space collapsed, ``12 5`` read as ``12,5``; empty for null."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(strip_footnotes(value), r"\|", r"\\\\|"), r"\s+", " "))
+    text = F.trim(F.regexp_replace(F.regexp_replace(strip_footnotes(value), r"\|", r"\\|"), r"\s+", " "))
     return F.coalesce(F.regexp_replace(text, r"^([0-9]+)\s+([0-9]{1,2})$", "$1,$2"), F.lit(""))
 
 

@@ -12,7 +12,7 @@ HEADING = r"^(#{1,6})\s+(.+)$"
 
 
 def _filled(parts: Column) -> Column:
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _one_line(text: Column) -> Column:
@@ -102,7 +102,7 @@ def pipe_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def cells(line: str) -> Column:
         inner = F.regexp_replace(F.col(line), r"^\||\|$", "")
-        return F.transform(F.split(inner, r"(?<!\\)\|"), F.trim)
+        return F.transform(F.split(inner, r"(?<!\\)\|"), lambda x: F.trim(x))
 
     pairs = F.posexplode(F.arrays_zip(cells("head").alias("n"), cells("line").alias("v"))).alias("col", "cell")
     rows = rows.select(id_col, F.dense_rank().over(Window.partitionBy(id_col).orderBy("island")).alias("table_no"), (F.col("at") - 2).alias("row_no"), pairs)
@@ -147,7 +147,7 @@ def pack_tokens(df: DataFrame, id_col: str, text_col: str, *, most: int = 1500,
     skipped; a longer line than ``most`` is a pack of its own. One fold over a text's lines, inside the JVM.
     """
     size = estimate_tokens
-    parts = F.filter(F.transform(F.split(F.col(text_col), "\n"), F.trim), lambda x: F.length(x) >= least_chars)
+    parts = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least_chars)
     kind = "struct<done:array<array<string>>,open:array<string>,n:bigint,fresh:boolean>"
     start = F.struct(
         F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("fresh")
