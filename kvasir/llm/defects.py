@@ -11,7 +11,7 @@ All counts are kept in a fixed number of hashed buckets, so the models' size doe
 
 from __future__ import annotations
 
-import math
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -34,13 +34,14 @@ _KEEP = 100_000  # sentences that a worker remembers
 LEAST_LETTERS = 5  # texts with fewer letters have no language
 REFUSES = 0.27  # log odds a gram from which a sentence refuses
 SURE = 4.0  # log odds from which a language is taken as known
-_CODE = regex.compile(r"https?://\S+|\b\p{Lu}{1,4}-\d[\d-]*\b|\d[\d.,]*", regex.IGNORECASE)
-_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
-_TOKENS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*|0|[^\s\p{L}0]|\n")
+# Over lower-case text; the standard library's patterns are the faster ones.
+_CODE = re.compile(r"https?://\S+|\b[^\W\d_]{1,4}-\d[\d-]*|\d+(?:[.,]\d+)*")
+_LETTERS = re.compile(r"[^\W\d_][^\W\d_'’\u0300-\u036f]*(?:['’\u0300-\u036f][^\W\d_]*)*")
+_TOKENS = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f'’-])*|0|[^\s\w]|_|\n")
 _ENDS = frozenset(".!?…\n")
 _STOP = "\ue001"  # between texts that are read together
 _HIDDEN = regex.compile(r"\p{Cf}")
-_SENTENCES = regex.compile(r"(?<=[.!?…])\s+|\n+")
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 _TAIL = regex.compile(r"[\s\p{So}\p{Sk}\p{Cf}️*_]+$")
 _CLOSERS = "»”“\"')]"
 _SIGNATURE = regex.compile(r"^\W*(с уважением|kind regards|best regards|regards|mit freundlichen gr|viele grüße|cordialement|bien à vous|ваш[аи]? )", regex.IGNORECASE)
@@ -165,23 +166,22 @@ def fit_languages(corpus: DataFrame, text_col: str = "text", lang_col: str = "la
 
 def words_of(text: str) -> list[str]:
     """The tokens of a text in lower case; every number and product code is ``0``."""
-    return [w if w == "\n" else w.lower() for w in _TOKENS.findall(_CODE.sub(" 0 ", text))]
+    return _TOKENS.findall(_CODE.sub(" 0 ", text.lower()))
 
 
-_known: dict[str, int] = {}
+class _Numbers(dict):
+    """A number for each word, the same in every process."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        n = self[word] = zlib.crc32(word.encode())
+        return n
 
-def _numbers(words: list[str]) -> np.ndarray:
-    """A number for each word, the same in every process."""
-    if len(_known) > 500_000:
-        _known.clear()
-    out = []
-    for w in words:
-        n = _known.get(w)
-        if n is None:
-            n = _known[w] = zlib.crc32(w.encode())
-        out.append(n)
-    return np.array(out, np.int64)
+
+_numbers = _Numbers()
+_END_NUMBERS = np.array(sorted(zlib.crc32(w.encode()) for w in _ENDS), np.int64)
+_CUT_NUMBERS = np.array(sorted(zlib.crc32(w.encode()) for w in (_STOP, "|")), np.int64)
 
 
 def _contexts(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -207,7 +207,8 @@ class Ends:
     def chance(self, words: list[str]) -> float:
         """The share of places after these words at which something ends, from the longest context seen three times."""
         last = words[-3:]
-        for key, good in reversed(_contexts(_numbers(last), np.array([w in _ENDS for w in last]))):
+        h = np.array([_numbers[w] for w in last], np.int64)
+        for key, good in reversed(_contexts(h, np.isin(h, _END_NUMBERS))):
             if good[-1] and self.seen[key[-1]] >= 3:
                 return float(self.ended[key[-1]] / self.seen[key[-1]])
         return 0.0
@@ -217,11 +218,11 @@ def _count_ends(total: Counter, texts: list) -> None:
     words = words_of(plain(_STOP.join(t for t in texts if t)))
     if len(words) < 2:
         return
-    ends = np.array([w in _ENDS for w in words])
-    cut = np.array([w == _STOP or w == "|" for w in words])
-    ends |= cut
+    h = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
+    cut = np.isin(h, _CUT_NUMBERS)
+    ends = np.isin(h, _END_NUMBERS) | cut
     counted = ~ends[:-1] & ~cut[1:]  # the end of a text counts neither way, it may be a broken one
-    for key, good in _contexts(_numbers(words), ends):
+    for key, good in _contexts(h, ends):
         for name, where in (("seen", counted & good[:-1]), ("ended", counted & good[:-1] & ends[1:])):
             _add(total, name, key[:-1][where])
 
@@ -294,7 +295,8 @@ def is_refusal(parts: list[str], model: Bayes) -> bool:
 
 def is_truncated(response: str, ends: Ends, least: float = 0.3) -> bool:
     """Whether a response breaks off before its last sentence, list or table is complete."""
-    if response.rstrip()[-1:] in (".", "!", "?", "…"):
+    end = response.rstrip()[-2:]
+    if end[-1:] in (".", "!", "?", "…") and not end[:1].isdecimal():
         return False
     text = _TAIL.sub("", response)
     lines = [line for line in text.split("\n") if line.strip()]
@@ -306,6 +308,8 @@ def is_truncated(response: str, ends: Ends, least: float = 0.3) -> bool:
         bars = rows[0].count("|")
         return not last.endswith("|") or last.count("|") < bars or len(rows) < 3
     bare = last.rstrip(_CLOSERS).rstrip()
+    if len(bare) > 1 and bare[-1] == "." and bare[-2].isdecimal():  # a sentence's end, or a broken decimal number
+        return ends.chance(words_of(bare[:-1])) < least / 2
     if not bare or bare[-1] in ".!?…":
         return False
     if bare[-1] in ":,;—–-(«„/=":
