@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kvasir.functions.bloom import bloom_filter, might_contain
 from kvasir.operators.joins import hottest_keys, skew_left_join
+from kvasir.sources.tables import cut
 
 
 class Reference(NamedTuple):
@@ -66,7 +67,7 @@ def broken_references(tables: dict[str, DataFrame], deletions: DataFrame, refere
         passed = skew_left_join(refs.where(maybe), exact, "key", hot)
         late = F.coalesce(F.col("target_created") > F.col("created"), F.lit(False))
         passed = passed.withColumns({"late": late, "absent": F.col("present").isNull()}).where("late or absent")
-        orphans = passed.select(surely.columns).unionByName(surely)
+        orphans = cut(passed.select(surely.columns).unionByName(surely))  # few rows, so that no table is read again for the log
         judged = skew_left_join(orphans, log.where(F.col("entity") == entity).drop("entity"), "key", hot)
         kind = F.when(~F.col("absent"), "late").when(F.col("in_log"), "deleted").otherwise("missing")
         found.append(judged.select("src", "id", kind.alias("kind"), "created"))
