@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _in_order(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows by key and then in order, for a fold that holds one key's state and never a key's rows."""
+    return events.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+
+
 def fixed_window_limit(events: DataFrame, key: str, at: str, *, most: int = 30, seconds: float = 60) -> DataFrame:
     """``event_id, <key>, window_no, n, allowed``: a limiter whose window begins with the first event after the last one's end.
 
-    The state of a key is its window's beginning and count, folded over its events in order of time, then id.
+    The state of a key is its window's beginning and count, folded over its events in order of time, then id. Events
+    without a key or time are no events.
     """
-
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([at, "event_id"], kind="stable")
-        begin, number, n, rows = None, 0, 0, []
-        span = pd.Timedelta(seconds=seconds)
-        for t in own[at]:
-            if begin is None or t - begin >= span:
-                begin, number, n = t, number + 1, 0
-            n += 1
-            rows.append((number, n, n <= most))
-        out = own[["event_id", key]].reset_index(drop=True)
-        out[["window_no", "n", "allowed"]] = pd.DataFrame(rows, columns=["window_no", "n", "allowed"])
-        return out
+    span = pd.Timedelta(seconds=seconds)
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, begin, number, n = None, None, 0, 0
+        for p in parts:
+            rows = []
+            for k, t in zip(p[key], p[at]):
+                if k != who:
+                    who, begin, number = k, None, 0
+                if begin is None or t - begin >= span:
+                    begin, number, n = t, number + 1, 0
+                n += 1
+                rows.append((number, n, n <= most))
+            out = p[["event_id", key]].reset_index(drop=True)
+            out[["window_no", "n", "allowed"]] = pd.DataFrame(rows, columns=["window_no", "n", "allowed"])
+            yield out
 
     types = dict(events.dtypes)
     schema = f"event_id {types['event_id']}, `{key}` {types[key]}, window_no bigint, n bigint, allowed boolean"
-    return events.select("event_id", key, at).groupBy(key).applyInPandas(fold, schema)
+    return _in_order(events.select("event_id", key, at).where(F.col(at).isNotNull()), key, at, "event_id").mapInPandas(fold, schema)
 
 
 def lockouts(failures: DataFrame, key: str, at: str, *, most: int = 10, minutes: int = 15) -> DataFrame:
     """``<key>, locked_at``: when ``most`` failures within ``minutes`` lock a key; its history is then cleared and failures while locked don't count."""
     span = pd.Timedelta(minutes=minutes)
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        recent, until, found = [], None, []
-        for t in own[at].sort_values(kind="stable"):
-            if until is not None and t < until:
-                continue
-            recent = [x for x in recent if t - x < span] + [t]
-            if len(recent) >= most:
-                found.append(t)
-                recent, until = [], t + span
-        return pd.DataFrame({key: own[key].iloc[:1].repeat(len(found)).to_numpy(), "locked_at": pd.Series(found, dtype=own[at].dtype)})
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, recent, until = None, [], None
+        for p in parts:
+            found = []
+            for k, t in zip(p[key], p[at]):
+                if k != who:
+                    who, recent, until = k, [], None
+                if until is not None and t < until:
+                    continue
+                recent = [x for x in recent if t - x < span] + [t]
+                if len(recent) >= most:
+                    found.append((k, t))
+                    recent, until = [], t + span
+            yield pd.DataFrame({key: pd.Series([k for k, _ in found], dtype=p[key].dtype), "locked_at": pd.Series([t for _, t in found], dtype=p[at].dtype)})
 
     types = dict(failures.dtypes)
-    return failures.select(key, at).groupBy(key).applyInPandas(fold, f"`{key}` {types[key]}, locked_at {types[at]}")
+    rows = failures.select(key, at).where(F.col(at).isNotNull())
+    return _in_order(rows, key, at).mapInPandas(fold, f"`{key}` {types[key]}, locked_at {types[at]}")
 
 
 def tumbling(events: DataFrame, at: str, width: str, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvasir.functions.bloom import MOST_BITS, bloom_bits, bloom_filter, might_contain
+from kvasir.operators import catalog
 from kvasir.operators import moderate as M
 from kvasir.operators import route as R
 from kvasir.operators import score as S
@@ -172,3 +173,28 @@ def test_stream_counts_once(spark, tmp_path):
     run = counts.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted((r.event_type, r.n) for r in spark.table("counts").collect()) == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_reading_lines(spark):
+    rows = [(1, 1, 10.0, 0.0), (1, 2, 0.0, 3.0), (1, 3, 5.0, 6.0), (1, 4, 0.0, 12.0), (2, 5, 0.0, 0.0), (2, 6, None, 0.0)]
+    df = spark.createDataFrame(rows, "page int, id long, x double, y double")
+    got = {r.id: (r.line_no, r.in_line) for r in catalog.reading_lines(df, ["page"]).collect()}
+    assert got == {2: (1, 1), 1: (1, 2), 4: (3, 1), 3: (2, 1), 5: (1, 1)}
+
+
+def test_headers_records_and_winners(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 4, "a")], "t int, at int, name string")
+    assert [r.header for r in catalog.unique_headers(df, ["t"], "at", "name").orderBy("at").collect()] == ["a", "b", "a 2", "a"]
+    rec = spark.createDataFrame([("k", 1, "x", 5), ("k", 2, "", None), (None, 3, "z", 1)], "key string, at int, name string, page int")
+    assert [tuple(r) for r in catalog.merge_records(rec, "key", "at", "name", "page").collect()] == [("k", "x", 5)]
+    hits = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.9), (2, 2, 0.85), (3, 1, 0.2)], "query_id long, id long, relevance double")
+    assert [(r.query_id, r.id) for r in catalog.clear_winner(hits, 0.5, 0.1).collect()] == [(1, 1)]
+    assert [r.id for r in catalog.variant_first(hits.where("query_id = 1"), F.col("id") == 2, 1).collect()] == [2]
+
+
+def test_page_ends_and_outline(spark):
+    rows = [(1, 1, "1", 1, 3, None), (2, 1, "1.1", 2, 5, 4), (3, 1, "2", 1, 9, 12), (3, 1, "2", 1, 9, 12), (4, 1, "2", 1, 8, None)]
+    df = spark.createDataFrame(rows, "id long, documentId long, sectionPath string, level int, pageStart int, pageEnd int")
+    assert {r.id: r.page_end for r in catalog.section_page_ends(df).collect()} == {1: 4, 2: 7, 4: 8, 3: 12}
+    o = catalog.document_outline(df).first()
+    assert (o.sections, o.depth, o.doubled, o.disordered) == (4, 2, 1, 1)
