@@ -55,13 +55,22 @@ def plain(text: str) -> str:
     return text if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
 
 
+def coded(text: str) -> str:
+    """A text in lower case with ``0`` for every number, product code and link."""
+    return _CODE.sub(" 0 ", text.lower())
+
+
 _seen: dict[str, str] = {}  # the words of sentences, as many come again
 
 
 def sentences(text: str) -> list[str]:
     """The sentences and lines of a text, each as its words in lower case; codes, numbers and links are left out."""
+    return _sentences(coded(text))
+
+
+def _sentences(ready: str) -> list[str]:
     found = []
-    for part in _SENTENCES.split(_CODE.sub("0", text.lower())):
+    for part in _SENTENCES.split(ready):
         words = _seen.get(part)
         if words is None:
             if len(_seen) > _KEEP:
@@ -166,7 +175,7 @@ def fit_languages(corpus: DataFrame, text_col: str = "text", lang_col: str = "la
 
 def words_of(text: str) -> list[str]:
     """The tokens of a text in lower case; every number and product code is ``0``."""
-    return _TOKENS.findall(_CODE.sub(" 0 ", text.lower()))
+    return _TOKENS.findall(coded(text))
 
 
 class _Numbers(dict):
@@ -214,8 +223,8 @@ class Ends:
         return 0.0
 
 
-def _count_ends(total: Counter, texts: list) -> None:
-    words = words_of(plain(_STOP.join(t for t in texts if t)))
+def _count_ends(total: Counter, ready: list[str]) -> None:
+    words = _TOKENS.findall(_STOP.join(ready))
     if len(words) < 2:
         return
     h = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
@@ -231,10 +240,11 @@ def fit_responses(df: DataFrame, text_col: str) -> tuple[Ends, Bayes]:
     """In one pass over a column, its end-of-text model, and the classes of refusals, polite phrases and, as background, all texts."""
 
     def count(total: Counter, texts: list) -> None:
-        _count_ends(total, texts)
+        ready = [coded(plain(t)) for t in texts if t]
+        _count_ends(total, ready)
         own: Counter = Counter()
-        for t in texts:
-            own.update(sentences(plain(t)) if t else ())
+        for t in ready:
+            own.update(_sentences(t))
         if own:
             _add(total, "answer", *_weighted(own, phrase))
 
@@ -346,7 +356,7 @@ def defective_pairs(
     response. Records delivered twice count once, ``corpus`` may be empty (then no language is known), texts are judged
     whole, further columns are not read.
     """
-    rows = df.select(id_col, prompt_col, response_col).dropDuplicates([id_col])
+    rows = df.select(id_col, prompt_col, response_col, is_blank(F.col(response_col)).alias("_empty"))
     filled = df.where(~is_blank(F.col(response_col)))
     languages, (ends, refusals) = fit_languages(corpus), fit_responses(filled, response_col)
 
@@ -371,5 +381,5 @@ def defective_pairs(
                     kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(kinds, pa.string())], [id_col, "defect"])
 
-    marked = rows.withColumn("_empty", is_blank(F.col(response_col)))
-    return marked.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, defect string")
+    # Few rows have a defect, so repeated records are taken out afterwards and no text is shuffled.
+    return rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, defect string").dropDuplicates([id_col])
