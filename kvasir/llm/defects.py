@@ -42,7 +42,6 @@ _ENDS = frozenset(".!?…\n")
 _STOP = "\ue001"  # between texts that are read together
 _HIDDEN = regex.compile(r"\p{Cf}")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
-_TAIL = regex.compile(r"[\s\p{So}\p{Sk}\p{Cf}️*_]+$")
 _CLOSERS = "»”“\"')]"
 _SIGNATURE = regex.compile(r"^\W*(с уважением|kind regards|best regards|regards|mit freundlichen gr|viele grüße|cordialement|bien à vous|ваш[аи]? )", regex.IGNORECASE)
 _LINK = regex.compile(r"https?://\S+$|www\.\S+$", regex.IGNORECASE)
@@ -103,25 +102,29 @@ class Bayes:
     def __init__(self, names: list[str], counts: np.ndarray, smooth: float = 0.3, take=grams):
         self.names, self.take = names, take
         self.log = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * counts.shape[1]))
-        self.known: dict[str, tuple[np.ndarray, int]] = {}
+        self.known: dict[str, tuple[float, ...]] = {}
+        self.size: dict[str, int] = {}
 
-    def scores(self, words: str) -> tuple[np.ndarray, int]:
-        """The log likelihood of each class and the number of grams; a third of the sum, as grams of several lengths overlap."""
+    def scores(self, words: str) -> tuple[float, ...]:
+        """The log likelihood of each class for a sentence; a third of the grams' sum, as grams of several lengths overlap."""
         found = self.known.get(words)
         if found is None:
             g = self.take(words)
             if len(self.known) > _KEEP:
                 self.known.clear()
-            found = self.known[words] = (self.log[:, g].sum(1) / 3, len(g))
+                self.size.clear()
+            found = self.known[words] = tuple((self.log[:, g].sum(1) / 3).tolist())
+            self.size[words] = len(g)
         return found
 
     def sure(self, parts: list[str]) -> str | None:
         """The class of a text, given by its sentences, if it is known."""
         if len(self.names) < 2 or sum(map(len, parts)) < LEAST_LETTERS:
             return None
-        s = sum((self.scores(p)[0] for p in parts), np.zeros(len(self.names)))
-        order = np.argsort(s)
-        return self.names[order[-1]] if s[order[-1]] - s[order[-2]] >= SURE else None
+        total = [sum(x) for x in zip(*map(self.scores, parts))]
+        first = max(range(len(total)), key=total.__getitem__)
+        second = max(x for i, x in enumerate(total) if i != first)
+        return self.names[first] if total[first] - second >= SURE else None
 
 
 def _buckets(df: DataFrame, columns: list[str], count) -> dict:
@@ -215,12 +218,15 @@ class Ends:
 
     def chance(self, words: list[str]) -> float:
         """The share of places after these words at which something ends, from the longest context seen three times."""
-        last = words[-3:]
-        h = np.array([_numbers[w] for w in last], np.int64)
-        for key, good in reversed(_contexts(h, np.isin(h, _END_NUMBERS))):
-            if good[-1] and self.seen[key[-1]] >= 3:
-                return float(self.ended[key[-1]] / self.seen[key[-1]])
-        return 0.0
+        key, found = 0, 0.0
+        for n, w in enumerate(reversed(words[-3:])):
+            if n and (w in _ENDS or w == "|"):
+                break
+            key = (key * 1_000_003 + _numbers[w]) & 0x7FFFFFFFFFF  # as in _contexts
+            i = ((key + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - END_BITS)
+            if self.seen[i] >= 3:
+                found = float(self.ended[i] / self.seen[i])
+        return found
 
 
 def _count_ends(total: Counter, ready: list[str]) -> None:
@@ -265,12 +271,14 @@ def fit_responses(df: DataFrame, text_col: str) -> tuple[Ends, Bayes]:
 
 def is_copy(prompt: str, response: str) -> bool:
     """Whether a response is the prompt, once or repeatedly, with nothing else but words that introduce it."""
-    want = _LETTERS_OR_DIGITS.findall(prompt.lower())
-    if not want or len(response) < len(want):
+    ours = prompt.lower()
+    word = _LETTERS_OR_DIGITS.search(ours)
+    if word is None or len(response) < len(word[0]):
         return False
-    head = response[: 200 + len(want[0])].lower()  # room for the few words that may come before the prompt
-    if want[0] not in head and "".join(want)[:8] not in "".join(_LETTERS_OR_DIGITS.findall(head)):
+    head = response[: 200 + len(word[0])].lower()  # room for the few words that may come before the prompt
+    if word[0] not in head and "".join(ours[word.start() :].split())[:8] not in "".join(head.split()):
         return False
+    want = _LETTERS_OR_DIGITS.findall(ours)
     have = _LETTERS_OR_DIGITS.findall(response.lower())
     rest, i, found = [], 0, False
     while i < len(have):
@@ -285,18 +293,18 @@ def is_copy(prompt: str, response: str) -> bool:
     return len(whole) >= 8 and echo.endswith(whole) and len(have) - len(want) <= 6 and all(w in ECHO_WORDS for w in have[: max(0, len(have) - len(want))])
 
 
-_LETTERS_OR_DIGITS = regex.compile(r"[\p{L}\p{N}]+")
+_LETTERS_OR_DIGITS = re.compile(r"[^\W_]+")
 
 
 def is_refusal(parts: list[str], model: Bayes) -> bool:
     """Whether a response, given by its sentences, has a refusing one and none that answers."""
     refused = False
     for words in parts:
-        s, n = model.scores(words)
+        answer, refusal, polite = model.scores(words)
+        n = model.size[words]
         if n < 9:
             continue
-        answer, refusal, polite = s / n
-        if refusal - answer >= REFUSES and refusal > polite:
+        if refusal - answer >= REFUSES * n and refusal > polite:
             refused = True
         elif polite <= answer:
             return False
@@ -305,10 +313,12 @@ def is_refusal(parts: list[str], model: Bayes) -> bool:
 
 def is_truncated(response: str, ends: Ends, least: float = 0.3) -> bool:
     """Whether a response breaks off before its last sentence, list or table is complete."""
-    end = response.rstrip()[-2:]
-    if end[-1:] in (".", "!", "?", "…") and not end[:1].isdecimal():
+    cut = len(response)
+    while cut and (response[cut - 1] in "*_\ufe0f" or response[cut - 1].isspace() or unicodedata.category(response[cut - 1]) in ("So", "Sk", "Cf")):
+        cut -= 1
+    text = response[:cut]
+    if text[-1:] in (".", "!", "?", "…") and not text[-2:-1].isdecimal():
         return False
-    text = _TAIL.sub("", response)
     lines = [line for line in text.split("\n") if line.strip()]
     if not lines:
         return False
@@ -357,8 +367,7 @@ def defective_pairs(
     whole, further columns are not read.
     """
     rows = df.select(id_col, prompt_col, response_col, is_blank(F.col(response_col)).alias("_empty"))
-    filled = df.where(~is_blank(F.col(response_col)))
-    languages, (ends, refusals) = fit_languages(corpus), fit_responses(filled, response_col)
+    languages, (ends, refusals) = fit_languages(corpus), fit_responses(df, response_col)
 
     def judge(prompt: str | None, response: str) -> str | None:
         prompt, response = plain(prompt or ""), plain(response)
