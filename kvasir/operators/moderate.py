@@ -17,42 +17,40 @@ LOOKALIKES = {
     "0": "о", "1": "и", "3": "з", "4": "ч", "6": "б", "9": "я",
 }
 _FOLD = str.maketrans(LOOKALIKES)
-_TOKEN = regex.compile(r"[\p{L}\p{N}*#?]+")
 _MASK = "*#?"
+_UNSEEN, _RUN = regex.compile(r"[\p{Cf}\p{M}]"), regex.compile(r"[*#?]{2,}")
 
 
 def read_as(text: str) -> str:
     """A text in the letters in which it is compared: no invisible or combining signs, look-alikes folded, masks shortened."""
     plain = unicodedata.normalize("NFKC", text).lower().replace("ё", "е")
-    plain = regex.sub(r"[\p{Cf}\p{M}]", "", plain).translate(_FOLD)
-    return regex.sub(r"[*#?]{2,}", "*", plain)
+    plain = _UNSEEN.sub("", plain).translate(_FOLD)
+    return _RUN.sub("*", plain)
+
+
+_IN, _OUT = r"[\p{L}\p{N}*#?]", r"[^\p{L}\p{N}*#?]"
 
 
 @functools.lru_cache(maxsize=64)
-def compiled(terms: tuple[str, ...]) -> list[tuple[str, list]]:
-    """One pattern for each word of each term; any letter may be masked, a star at the end of a word stands for any ending."""
+def compiled(terms: tuple[str, ...]) -> list[tuple[str, regex.Pattern]]:
+    """One pattern for each term, longest phrases first; any letter may be masked, a star at the end of a word stands for any ending."""
 
-    def pattern(word: str):
-        stem, open_end = word.rstrip("*"), word.endswith("*")
-        body = "".join(f"[{regex.escape(c)}{_MASK}]" for c in read_as(stem))
-        return regex.compile(body + (r"[\p{L}\p{N}*#?]*" if open_end else ""))
+    def pattern(word: str) -> str:
+        body = "".join(f"[{regex.escape(c)}{_MASK}]" for c in read_as(word.rstrip("*")))
+        return "(" + body + (_IN + "*" if word.endswith("*") else "") + ")"
 
-    return [(t, [pattern(w) for w in t.split()]) for t in terms if t.strip()]
+    listed = sorted((t.split() for t in terms if t.strip()), key=lambda words: -len(words))
+    return [(" ".join(w), regex.compile(rf"(?<!{_IN})" + f"{_OUT}+".join(map(pattern, w)) + rf"(?!{_IN})")) for w in listed]
 
 
 def findings(text: str, terms: tuple[str, ...], most: int = 8) -> list[str]:
-    """The terms in a text, longest phrases first, at most ``most``; a match needs two visible letters."""
-    tokens = _TOKEN.findall(read_as(text))
-    found = []
-    for term, patterns in sorted(compiled(terms), key=lambda p: -len(p[1])):
-        n = len(patterns)
-        for i in range(len(tokens) - n + 1):
-            part = tokens[i : i + n]
-            if all(p.fullmatch(w) and sum(c not in _MASK for c in w) >= 2 for p, w in zip(patterns, part)):
-                found.append(term)
+    """The terms in a text, longest phrases first, at most ``most``; each word of a match needs two visible letters."""
+    read, found = read_as(text), []
+    for term, pattern in compiled(terms):
+        if any(all(sum(c not in _MASK for c in w) >= 2 for w in m.groups()) for m in pattern.finditer(read)):
+            found.append(term)
+            if len(found) == most:
                 break
-        if len(found) == most:
-            break
     return found
 
 

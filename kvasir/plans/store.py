@@ -8,7 +8,7 @@ from kvasir.operators import moderate as M
 from kvasir.operators import route as R
 from kvasir.operators import store as S
 from kvasir.functions import text as T
-from kvasir.sources.tables import table
+from kvasir.sources.tables import spread, table
 
 TERMS = ("pump", "steel", "ring", "pressure*", "кольцо", "давлени*")  # neutral words, so that the scan has work on any corpus
 FALLBACK = "withheld"
@@ -214,7 +214,8 @@ def region_overlap(spark, d):
 
 
 def moderation_scan(spark, d):
-    return M.scan(_chat(spark, d), "id", "response", list(TERMS))
+    chat = spread(table(spark, d, "chat_history").select("id", "response"))
+    return M.scan(chat, "id", "response", list(TERMS)).dropDuplicates(["id"])
 
 
 def moderation_gate(spark, d):

@@ -28,3 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows are costly to work on, dealt out to all cores if it has fewer partitions than these.
+
+    That is so for small files alone; a large table has more partitions than cores and stays as it is, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
