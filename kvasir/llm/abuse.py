@@ -29,7 +29,8 @@ DIM, HIDDEN = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 14
 LABEL_ROWS = 12_000  # verdicts that the network is fitted on at most
 SEED = 11
-DOUBTS = {2: 0.1, 4: 0.2, 7: 0.3}  # after which rounds verdicts are doubted, and below what chance
+DOUBTS = {2: 0.1, 4: 0.2, 7: 0.3}  # after which twelfths of the rounds verdicts are doubted, and below what chance
+LEAST_STEPS, MOST_ROUNDS = 240, 60
 _KEEP = 200_000  # words that a worker remembers
 
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t]]", regex.V1)
@@ -230,12 +231,16 @@ def train(samples: list[tuple[str, str]], *, rounds: int = 12, batch: int = 192,
     seen: dict[tuple[str, ...], list[int]] = {}
     for i, (w, y) in enumerate(texts):
         if y == 0:
-            for s in {tuple(s) for s in windows_of(list(w))}:
+            for s in dict.fromkeys(map(tuple, windows_of(list(w)))):
                 seen.setdefault(s, [i, 0])[1] += 1
     usual = [(list(s), 0, i, min(4.0, n**0.5)) for s, (i, n) in seen.items() if n > 2]
     single = [(list(s), 0, i, 1.0) for s, (i, n) in seen.items() if n <= 2]
     n_clean = min(len(single), max(least_clean, 6 * n_bad))
     up = min(4.0, max(1.0, (n_clean + len(usual)) / n_bad / 6))  # the classes' weights, so that rare abuse counts
+    # Few verdicts are gone through more often, so that the network has learnt something before any is doubted.
+    each = -(-(len(usual) + n_clean + 2 * n_bad) // batch)
+    rounds = max(rounds, min(MOST_ROUNDS, -(-LEAST_STEPS // each)))
+    doubts = {rounds * part // 12: chance for part, chance in DOUBTS.items()}
     for turn in range(rounds):
         rows = usual + rng.sample(single, n_clean)
         worst = _worst_windows(net, texts) if turn else {}
@@ -279,10 +284,10 @@ def train(samples: list[tuple[str, str]], *, rounds: int = 12, batch: int = 192,
                 m[key] = 0.9 * m[key] + 0.1 * grad
                 v2[key] = 0.999 * v2[key] + 0.001 * grad * grad
                 net.p[key] -= (lr * fix * m[key] / (np.sqrt(v2[key]) + 1e-8)).astype(np.float32)
-        if turn in DOUBTS:
+        if turn in doubts:
             s = Scorer(net).scores([list(w) for w, _ in texts]).sum(1)
             bad = np.array([y > 0 for _, y in texts])
-            trust = np.where(bad, s > DOUBTS[turn], s < 1 - DOUBTS[turn] / 4).astype(np.float32)
+            trust = np.where(bad, s > doubts[turn], s < 1 - doubts[turn] / 4).astype(np.float32)
     return net
 
 
@@ -369,7 +374,7 @@ def abuse_scores(chat: DataFrame, labels: DataFrame, fields: tuple[str, ...] = (
     """
     samples = verdicts(chat, labels, fields, most)
     net = train(samples) if {y for _, y in samples} - {"clean"} else None
-    rows = chat.select("id", *keep, *fields).dropDuplicates(["id"])
+    rows = chat.select("id", *keep, *fields)
     types = dict(chat.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +393,8 @@ def abuse_scores(chat: DataFrame, labels: DataFrame, fields: tuple[str, ...] = (
                     )
 
     schema = ", ".join([f"id {types['id']}", "field string", *(f"`{c}` {types[c]}" for c in keep), "abuse double, hate double, sexual double, score double"])
-    return rows.mapInArrow(run, schema)
+    # Repeated records are taken out of the narrow result, so that no text is shuffled.
+    return rows.mapInArrow(run, schema).dropDuplicates(["id", "field"])
 
 
 def abuse_rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

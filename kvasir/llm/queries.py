@@ -13,12 +13,20 @@ from kvasir.llm.mixing import mix, reached_shares
 from kvasir.llm.neighbours import similar_pairs
 from kvasir.llm.residue import residue_scores
 from kvasir.llm.tokens import count_tokens, encode
-from kvasir.sources.tables import cut, table
+from kvasir.sources.tables import cut, spread, table
+
+
+def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, name).select(*columns))
+
+
+def _chat_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, "chat_history", "id", "source", "query", "response")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Similar pairs of chunks and of FAQ entries."""
-    chunks, faq = (similar_pairs(table(spark, d, name)).select(F.lit(name).alias("tab"), "id_a", "id_b") for name in ("document_chunks", "faq_entries"))
+    chunks, faq = (similar_pairs(_texts(spark, d, name, "id", "embedding")).select(F.lit(name).alias("tab"), "id_a", "id_b") for name in ("document_chunks", "faq_entries"))
     return chunks.unionByName(faq)
 
 
@@ -27,19 +35,19 @@ ABUSE_THRESHOLD = 0.75
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every query and response."""
-    scores = abuse_scores(table(spark, d, "chat_history"), table(spark, d, "review_labels"))
+    scores = abuse_scores(_chat_texts(spark, d), table(spark, d, "review_labels"))
     return scores.select("id", "field", "source", *(F.round(c, 4).alias(c) for c in ("abuse", "hate", "sexual", "score")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Queries and responses with abusive, hateful or sexual content."""
-    scores = abuse_scores(table(spark, d, "chat_history"), table(spark, d, "review_labels"))
+    scores = abuse_scores(_chat_texts(spark, d), table(spark, d, "review_labels"))
     return scores.where(F.col("score") >= ABUSE_THRESHOLD).select("id", "field")
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates of such texts by source and field."""
-    return abuse_rates(abuse_scores(table(spark, d, "chat_history"), table(spark, d, "review_labels")), ABUSE_THRESHOLD)
+    return abuse_rates(abuse_scores(_chat_texts(spark, d), table(spark, d, "review_labels")), ABUSE_THRESHOLD)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +63,7 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Records whose response is a bad answer, with the defect."""
-    return defective_pairs(table(spark, d, "chat_history"), table(spark, d, "documents"))
+    return defective_pairs(_chat_texts(spark, d), _texts(spark, d, "documents", "text", "lang"))
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +75,11 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
-    return encode(table(spark, d, "documents"))
+    return encode(_texts(spark, d, "documents", "doc_id", "text"))
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return mix(cut(count_tokens(table(spark, d, "documents"))), table(spark, d, "mix_targets"))
+    return mix(cut(count_tokens(_texts(spark, d, "documents", "doc_id", "source", "text"))), table(spark, d, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +94,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with template residue or error-page text."""
-    return residue_scores(table(spark, d, "documents")).where("score > 0").select("doc_id").distinct()
+    return residue_scores(_texts(spark, d, "documents", "doc_id", "text")).where("score > 0").select("doc_id").distinct()
 
 
 def _blank(column: str) -> str:
