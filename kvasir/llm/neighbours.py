@@ -1,6 +1,6 @@
 """The most similar vectors of every vector.
 
-Method. The vectors, scaled to length one, are projected by ``trees`` independent Gaussian matrices (2-stable, so a
+Method. The vectors, scaled to length one, are projected by several independent Gaussian matrices (2-stable, so a
 projected squared distance over the true one is chi-square with as many degrees of freedom as dimensions are compared).
 Each projection is indexed by a kd-tree in two levels: its upper cells, fitted on a bounded sample, are the blocks that
 Spark distributes, and every block builds the lower levels over all its rows. A row is searched in its own block of each
@@ -9,6 +9,9 @@ to their boxes, until a neighbour nearer than d lies beyond a box with a probabi
 leaves are verified with the full vectors. Leaves, not single points, are the increments, as one matrix product verifies
 a leaf.
 
+A neighbour beyond the border of a block is found only by a tree that keeps both together, which one tree does the less
+often the more blocks there are. So the number of trees grows with a power of the number of blocks (:func:`trees_for`).
+
 A third of all rows may share one vector: equal vectors are one point of the index, and their records are linked to the
 first of them afterwards, so that no block grows with the number of copies.
 """
@@ -29,6 +32,8 @@ from kvasir.sources.tables import cut
 
 UNIT = 32767.0  # length-one components are kept as 16-bit integers
 DIMS = 12  # of a projection
+#: Power of the number of blocks by which trees grow; from a replay of the cells for 2 to 1,024 blocks, see the README.
+TREES_POWER = 0.29
 SEED = 20240607
 
 
@@ -95,6 +100,11 @@ def projections(trees: int, size: int) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(trees, size, DIMS)).astype(np.float32)
 
 
+def trees_for(trees: int, depth: int) -> int:
+    """How many trees ``2**depth`` blocks need to keep as many neighbours together as few blocks do, ``trees`` for one block."""
+    return math.ceil(trees * 2 ** (TREES_POWER * depth))
+
+
 def fit_cells(y: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Dimension and place of every split of a kd-tree of ``depth`` full levels over projected rows ``y``, as a heap."""
     dims, cuts = np.zeros(2**depth, np.int32), np.zeros(2**depth, np.float32)
@@ -213,7 +223,8 @@ def most_similar(
 
     Rows repeated with the same id are one row. Vectors that are null, not JSON, of another length than ``size``, not
     finite or all zero are no rows; an empty table gives none. Between equal cosines the smaller id comes first. Other
-    columns of ``df`` are not read. ``trees``, ``leaf`` and ``p_stop`` set the accuracy; measured recall is in the README.
+    columns of ``df`` are not read. ``trees`` (of one block, more of many), ``leaf`` and ``p_stop`` set the accuracy;
+    measured recall is in the README.
     ``sample_rows`` bounds the rows that fit the upper cells (64 a block beyond that).
     """
     spark = df.sparkSession
@@ -222,6 +233,7 @@ def most_similar(
     )
     n = points.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / block_rows)))
+    trees = trees_for(trees, depth)
     mats = projections(trees, size)
     cells = [(np.zeros(1, np.int32), np.zeros(1, np.float32))] * trees
     if depth:

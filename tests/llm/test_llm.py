@@ -40,6 +40,14 @@ def test_neighbours_against_brute_force(spark):
     assert len(exact ^ want) <= 4  # ties within 16 bits
 
 
+def test_neighbours_across_the_borders_of_many_blocks(spark):
+    m = vectors(2400, spread=0.3, groups=6)
+    df = spark.createDataFrame([(i, json.dumps(v.tolist())) for i, v in enumerate(m)], "id long, embedding string")
+    want = brute(m, 5, 0.85)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, size=16, block_rows=75, leaf=40).collect()}
+    assert len(want & got) / len(want) >= 0.97
+
+
 def test_neighbours_of_bad_equal_and_repeated_rows(spark):
     one, two = [1.0, 0, 0, 0], [0, 1.0, 0, 0]
     rows = [(i, json.dumps(one)) for i in range(1, 10)] + [(1, json.dumps(one)), (20, "[2,0,0,0]"), (21, json.dumps([1.0, 0.01, 0, 0])), (22, json.dumps(two))]
