@@ -137,11 +137,14 @@ def char_coverage(spark, d):
     return S.lost_characters(docs, heads, "doc_id", "text")
 
 
-def route_rules(spark, d):
+def _rules(spark):
     rows = [(no, name, on, i, t) for no, name, on, terms in RULES for i, t in enumerate(terms)]
-    rules = spark.createDataFrame(rows, "rule_no int, rule string, enabled boolean, term_no int, term string")
+    return spark.createDataFrame(rows, "rule_no int, rule string, enabled boolean, term_no int, term string")
+
+
+def route_rules(spark, d):
     asked = _chat(spark, d).where("query is not null").select("id", F.col("query").alias("text"))
-    return R.route(asked, rules)
+    return R.route(asked, _rules(spark))
 
 
 def session_history_lag(spark, d):
@@ -149,9 +152,11 @@ def session_history_lag(spark, d):
 
 
 def rule_recommendations(spark, d):
+    """Groups of equal questions that no enabled rule matches, over all records."""
     chat = _chat(spark, d).where("query is not null")
     traces = chat.select("id", F.trim(R.words(F.col("query"))).alias("key"), F.col("query").alias("text")).where("key <> ''")
-    known = traces.where("id % 3 = 0").select("key")
+    asked = traces.select(F.col("key").alias("id"), F.col("key").alias("text")).distinct()
+    known = R.route(asked, _rules(spark)).select(F.col("id").alias("key"))
     return R.recommendations(traces, known)
 
 
