@@ -66,12 +66,13 @@ def section_paths(spark, d):
 
 
 def section_titles(spark, d):
-    return table(spark, d, "sections").select("id", T.section_title(F.col("title"), 12).alias("title")).distinct()
+    return table(spark, d, "sections").select("id", T.section_title(F.col("title")).alias("title")).distinct()
 
 
 def table_cells(spark, d):
     cells = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line like '|%|'")
-    cells = cells.select("doc_id", F.explode(F.slice(F.split("line", r"\|"), 2, 16)).alias("cell"))
+    parts = F.split("line", r"\|")
+    cells = cells.select("doc_id", F.explode(F.slice(parts, F.lit(2), F.size(parts) - 2)).alias("cell"))
     return cells.groupBy(T.table_cell(F.col("cell")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,4 +1,4 @@
-from kvasir.plans import store
+from kvasir.plans import store, text
 
 
 def test_frequent_questions_are_recommended_unless_a_rule_matches(spark, tmp_path):
@@ -6,3 +6,13 @@ def test_frequent_questions_are_recommended_unless_a_rule_matches(spark, tmp_pat
     spark.createDataFrame(list(enumerate(asked)), "id long, query string").write.parquet(str(tmp_path / "chat_history.parquet"))
     got = [tuple(r) for r in store.rule_recommendations(spark, str(tmp_path)).collect()]
     assert got == [("which pump", 10, "Which pump? | Which pump? | Which pump?")]
+
+
+def test_whole_titles_and_all_cells(spark, tmp_path):
+    title = "A title of more than twelve characters"
+    spark.createDataFrame([(1, f" {title}\n")], "id long, title string").write.parquet(str(tmp_path / "sections.parquet"))
+    assert [r.title for r in text.section_titles(spark, str(tmp_path)).collect()] == [title]
+    row = "|" + "|".join(f"c{i}" for i in range(20)) + "|"
+    spark.createDataFrame([(1, f"x\n{row}\n||")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["value"]: r.n for r in text.table_cells(spark, str(tmp_path)).collect()}
+    assert got == {**{f"c{i}": 1 for i in range(20)}, "": 1}
