@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,70 @@ def hybrid(lexical: DataFrame, vector: DataFrame, w_vector: float = 0.6, w_lexic
     return both.withColumn("relevance", (w_vector * F.col("sim") + w_lexical * F.col("norm")) / total)
 
 
+def usable_vectors(text: Column, size: int = 64) -> Column:
+    """An array of the one vector in a JSON text, or of none unless it is ``size`` finite numbers that aren't all zero."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.filter(F.array(F.from_json(text, "array<double>")), lambda v: (F.size(v) == size) & F.forall(v, finite) & F.exists(v, lambda x: x != 0))
+
+
+def hybrid_top_k(queries: DataFrame, lexical: DataFrame, corpus: DataFrame, k: int, *, size: int = 64, blocks: int = 1, parts: int = 1, w_vector: float = 0.6, w_lexical: float = 0.4) -> DataFrame:
+    """``query_id, id, relevance, rank``: the ``k`` best of all rows by :func:`hybrid`, rounded to 6 digits, ties by ``id``.
+
+    Every pair of a query (``query_id, vec``) and a row (``id, vec``) has its true cosine, those that share a term
+    (``query_id, id, norm``) too; a lexical hit of a row or query without a vector has the lexical part alone. Rows are
+    dealt into ``blocks`` and queries into ``parts``; each pair of these is one matrix product and keeps its ``k`` best.
+    """
+    slot = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("bigint")
+    rows = corpus.select(slot("id", blocks).alias("block"), every(parts).alias("part"), none.alias("query_id"), F.col("id").cast("bigint").alias("id"), "vec")
+    asked = queries.select(every(blocks).alias("block"), slot("query_id", parts).alias("part"), F.col("query_id").cast("bigint").alias("query_id"), none.alias("id"), "vec")
+    hits = lexical.select(slot("id", blocks).alias("block"), slot("query_id", parts).alias("part"), "query_id", "id", "norm")
+
+    def read(t: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+        t = t.filter(pa.compute.is_valid(t[key])).sort_by(key)
+        m = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+        if len(m):
+            m /= np.abs(m).max(axis=1, keepdims=True)
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+        return t[key].to_numpy(), m
+
+    def at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(keys, wanted)
+        return i, np.append(keys, -1)[i] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+    def first(q: np.ndarray, i: np.ndarray, r: np.ndarray) -> np.ndarray:
+        order = np.lexsort((i, -r, q))
+        q = q[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        return order[np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k]
+
+    def search(both: pa.Table, hit: pa.Table) -> pa.Table:
+        (ids, m), (asked_ids, q) = read(both, "id"), read(both, "query_id")
+        hit_q, hit_id, norm = hit["query_id"].to_numpy(), hit["id"].to_numpy(), hit["norm"].to_numpy() * w_lexical
+        (row, has_q), (col, has_id) = at(asked_ids, hit_q), at(ids, hit_id)
+        near = has_q & has_id
+        found = [(hit_q[~near], hit_id[~near], norm[~near])]
+        row, col, norm = row[near], col[near], norm[near]
+        order = np.argsort(row, kind="stable")
+        row, col, norm = row[order], col[order], norm[order]
+        for lo in range(0, len(q) if len(ids) else 0, 128):
+            r = w_vector * np.round(q[lo : lo + 128] @ m.T, 9)
+            own = slice(*np.searchsorted(row, (lo, lo + 128)))
+            r[row[own] - lo, col[own]] += norm[own]
+            r = np.round(r / (w_vector + w_lexical), 6)
+            least = np.partition(r, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+            a, b = np.nonzero(r >= least[:, None])
+            found.append((asked_ids[lo + a], ids[b], r[a, b]))
+        found[0] = (*found[0][:2], np.round(found[0][2] / (w_vector + w_lexical), 6))
+        q_id, i, r = (np.concatenate(x) for x in zip(*found))
+        keep = first(q_id, i, r) if len(r) else slice(0, 0)
+        return pa.table({"query_id": pa.array(q_id[keep], pa.int64()), "id": pa.array(i[keep], pa.int64()), "relevance": pa.array(r[keep], pa.float64())})
+
+    pairs = rows.unionByName(asked).groupBy("block", "part").cogroup(hits.groupBy("block", "part"))
+    return top_k(pairs.applyInArrow(search, "query_id bigint, id bigint, relevance double"), k, "relevance")
+
+
 def threshold_with_fallback(df: DataFrame, score: str, strict: float = 0.45, loose: float = 0.35) -> DataFrame:
     """The rows of each query that reach ``strict`` or, if none does, ``loose``."""
     best = F.max(score).over(Window.partitionBy("query_id"))

@@ -73,13 +73,14 @@ def cosine_in_group(spark, d):
 
 
 def hybrid_topk(spark, d):
-    """Lexical and label-vector scores of searches among FAQ entries, fused."""
-    faq = table(spark, d, "faq_entries").select("id", "title", "content").dropDuplicates(["id"])
-    asked = faq.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
-    lexical = S.normalized(S.bm25(asked, faq.select("id", "content"), "id", "content").withColumn("score", F.round("score", 6)))
-    overlap = lexical.select("query_id", "id", (F.lit(1.0) / (1 + F.abs(F.col("query_id") - F.col("id")))).alias("sim"))
-    fused = S.hybrid(lexical.withColumn("norm", F.round("norm", 6)), overlap).withColumn("relevance", F.round("relevance", 6))
-    return S.top_k(fused, 10, "relevance").select("query_id", "id", "relevance", "rank")
+    """Lexical and vector scores of searches by FAQ entries among all chunks, fused."""
+    rows = lambda name: table(spark, d, name).select("id", "embedding").dropDuplicates(["id"])
+    vectors = lambda df, key: df.select(F.col("id").alias(key), F.explode(S.usable_vectors(F.col("embedding"))).alias("vec"))
+    asked = rows("faq_entries").where("id % 20 = 0")
+    lexical = S.normalized(_bm25(spark, d).withColumn("score", F.round("score", 6))).select("query_id", "id", F.round("norm", 6).alias("norm"))
+    blocks, parts = -(-table(spark, d, "document_chunks").count() // 16_384), -(-asked.count() // 512)
+    found = S.hybrid_top_k(vectors(asked, "query_id"), lexical, vectors(rows("document_chunks"), "id"), 10, blocks=max(1, blocks), parts=max(1, parts))
+    return found.select("query_id", "id", "relevance", "rank")
 
 
 def threshold_fallback(spark, d):
