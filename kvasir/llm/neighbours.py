@@ -1,16 +1,19 @@
 """The most similar vectors of every vector.
 
-Method. The vectors, scaled to length one, are projected by several independent Gaussian matrices (2-stable, so a
-projected squared distance over the true one is chi-square with as many degrees of freedom as dimensions are compared).
-Each projection is indexed by a kd-tree in two levels: its upper cells, fitted on a bounded sample, are the blocks that
-Spark distributes, and every block builds the lower levels over all its rows. A row is searched in its own block of each
-projection: first its own leaf, which gives a distance d of its k-th neighbour, then other leaves by projected distance
-to their boxes, until a neighbour nearer than d lies beyond a box with a probability the chi-square test rejects. Visited
-leaves are verified with the full vectors. Leaves, not single points, are the increments, as one matrix product verifies
+Method. The vectors, scaled to length one, are projected by independent Gaussian matrices (2-stable: the squared
+difference of two projections, over that of the vectors, is chi-square with as many degrees of freedom as dimensions are
+compared). Each projection is indexed by a kd-tree in two levels. Its upper cells are the blocks that Spark distributes;
+every block builds the lower levels over its rows and is searched row by row: first the row's own leaf, which gives the
+distance d of its k-th neighbour, then one leaf after the other by the projected distance of their boxes, d shrinking on
+the way, until the chi-square test rejects a neighbour nearer than d in the next leaf and so in all after it. Visited
+leaves are verified with the whole vectors. Leaves, not single points, are the increments, as one matrix product verifies
 a leaf.
 
-A neighbour beyond the border of a block is found only by a tree that keeps both together, which one tree does the less
-often the more blocks there are. So the number of trees grows with a power of the number of blocks (:func:`trees_for`).
+The border of a block doesn't end the search. A row whose projection lies so near to a cut that the test does not reject
+a neighbour of at least the lowest similarity beyond it is also put into the block beyond. It is enough to do so from the
+lower to the upper side, as the two rows of a pair then meet in the upper one. Cuts halve the rows with these copies
+counted, a cell that still has more than ``block_rows`` rows is cut again, and each block is one task, so no task grows
+with the data.
 
 A third of all rows may share one vector: equal vectors are one point of the index, and their records are linked to the
 first of them afterwards, so that no block grows with the number of copies.
@@ -28,12 +31,13 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvasir.operators.joins import hottest_keys, skew_left_join
 from kvasir.sources.tables import cut
 
-UNIT = 32767.0  # length-one components are kept as 16-bit integers
+UNIT = 32767.0  # length-one components are kept as 16-bit integers, which changes a cosine by less than 0.0003
 DIMS = 12  # of a projection
-#: Power of the number of blocks by which trees grow; from a replay of the cells for 2 to 1,024 blocks, see the README.
-TREES_POWER = 0.29
+LEAST_SAMPLE = 32  # rows of the sample in a cell that is cut by it
+ROUNDS = 12  # of cutting again
 SEED = 20240607
 
 
@@ -100,32 +104,53 @@ def projections(trees: int, size: int) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(trees, size, DIMS)).astype(np.float32)
 
 
-def trees_for(trees: int, depth: int) -> int:
-    """How many trees ``2**depth`` blocks need to keep as many neighbours together as few blocks do, ``trees`` for one block."""
-    return math.ceil(trees * 2 ** (TREES_POWER * depth))
+class Cells:
+    """The upper levels of a kd-tree: nodes with a dimension and a cut, or leaves, which are the blocks."""
 
+    def __init__(self, margin: float):
+        self.margin, self.dims, self.cuts, self.left = margin, [-1], [0.0], [-1]
 
-def fit_cells(y: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dimension and place of every split of a kd-tree of ``depth`` full levels over projected rows ``y``, as a heap."""
-    dims, cuts = np.zeros(2**depth, np.int32), np.zeros(2**depth, np.float32)
-    rows = {1: np.arange(len(y))}
-    for node in range(1, 2**depth):
-        own = rows.pop(node)
-        if len(own) > 1:
-            dims[node] = np.argmax(y[own].std(0))
-            cuts[node] = np.median(y[own, dims[node]])
-        left = y[own, dims[node]] <= cuts[node]
-        rows[2 * node], rows[2 * node + 1] = own[left], own[~left]
-    return dims, cuts
+    def blocks(self) -> list[int]:
+        """The leaves."""
+        return [i for i, d in enumerate(self.left) if d < 0]
 
-
-def cell_of(y: np.ndarray, dims: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The cell, as a leaf of the heap, of each projected row."""
-    node = np.ones(len(y), np.int64)
-    at = np.arange(len(y))
-    for _ in range(int(math.log2(len(dims)))):
-        node = 2 * node + (y[at, dims[node]] > cuts[node])
-    return node
+    def grow(self, node: int, y: np.ndarray, weight: float, most: int) -> None:
+        """Cut the leaf ``node`` until each leaf has at most ``most`` rows, ``weight`` for each row of the sample ``y``."""
+        todo = [(node, y)]
+        while todo:
+            at, own = todo.pop()
+            if len(own) * weight <= most or len(own) < LEAST_SAMPLE:
+                continue
+            d = int(np.argmax(own.std(0)))
+            v = np.sort(own[:, d])
+            # The cut that halves the rows, of which the lower ones within the margin are on both sides.
+            below = np.arange(1, len(v) + 1)
+            above = len(v) - np.searchsorted(v, v - self.margin, side="right")
+            i = int(np.argmin(np.abs(below - above)))
+            cut = float(v[i])
+            if max(below[i], above[i]) > 0.9 * len(v):
+                continue  # too small a cell for the margin, or one point
+            self.dims[at], self.cuts[at], self.left[at] = d, cut, len(self.left)
+            self.dims += [-1, -1]
+            self.cuts += [0.0, 0.0]
+            self.left += [-1, -1]
+            low, high = own[own[:, d] <= cut], own[own[:, d] > cut - self.margin]
+            todo += [(self.left[at], low), (self.left[at] + 1, high)]
+
+    def of(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and their blocks; a row near a cut is in several."""
+        dims, cuts, left = np.array(self.dims), np.array(self.cuts, np.float32), np.array(self.left)
+        rows, nodes, done = np.arange(len(y)), np.zeros(len(y), np.int64), []
+        while len(rows):
+            leaf = left[nodes] < 0
+            done.append((rows[leaf], nodes[leaf]))
+            rows, nodes = rows[~leaf], nodes[~leaf]
+            v = y[rows, dims[nodes]]
+            low, high = v <= cuts[nodes], v > cuts[nodes] - np.float32(self.margin)
+            rows, nodes = np.concatenate([rows[low], rows[high]]), np.concatenate([left[nodes[low]], left[nodes[high]] + 1])
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
 
 
 class _Best:
@@ -190,21 +215,91 @@ def search_block(x: np.ndarray, y: np.ndarray, k: int, floor: float, leaf: int,
 
     for own in members:
         verify(own, own, home=True)
-    quantile = np.array([np.inf] + [chi_square_quantile(p_stop, f) for f in range(1, m + 1)], np.float32)
-    for own, (lo, hi) in zip(members, boxes):
+    # Each leaf's projected distance from each row, in units of what the test allows a neighbour at distance 1.
+    quantile = np.array([1.0] + [chi_square_quantile(p_stop, f) for f in range(1, m + 1)], np.float32)
+    far = np.empty((n, len(members)), np.float32)
+    for at, (own, (lo, hi)) in enumerate(zip(members, boxes)):
         square, outside = np.zeros(n, np.float32), np.zeros(n, np.int64)
         for d in np.flatnonzero(np.isfinite(lo) | np.isfinite(hi)):
             off = np.maximum(np.maximum(lo[d] - y[:, d], y[:, d] - hi[d]), 0)
             square += off * off
             outside += off > 0
-        near = 2 - 2 * np.maximum(best.sim[:, k - 1], floor)  # the squared distance a further neighbour must beat
-        rows = np.flatnonzero((outside > 0) & (square <= quantile[outside] * near))
-        if len(rows):
-            verify(rows, own, home=False)
+        far[:, at] = square / quantile[outside]
+        far[own, at] = np.inf
+    order = np.argsort(far, axis=1, kind="stable").astype(np.int32)
+    far = np.take_along_axis(far, order, 1)
+    rows = np.arange(n)
+    for step in range(len(members) - 1):  # one further leaf of each row whose test hasn't stopped it
+        near = 2 - 2 * np.maximum(best.sim[rows, k - 1], floor)  # the squared distance a further neighbour must beat
+        rows = rows[far[rows, step] <= near]
+        if not len(rows):
+            break
+        leaf_of = order[rows, step]
+        by_leaf = np.argsort(leaf_of, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(leaf_of[by_leaf]) > 0])
+        for part in np.split(by_leaf, begin[1:]):
+            verify(rows[part], members[leaf_of[part[0]]], home=False)
     best.sim[best.idx < 0] = np.nan
     return best.idx, best.sim
 
 
+def fit_cells(points: DataFrame, mats: np.ndarray, n: int, *, size: int, margin: float, block_rows: int, sample_rows: int) -> list[Cells]:
+    """The upper cells of each projection, cut until each has at most ``block_rows`` of the ``n`` rows of ``points``.
+
+    Each round takes a sample of at most about ``sample_rows`` rows and counts all rows of each cell; cells that are too
+    large are cut again by a sample of their own rows. A cell that no cut makes smaller stays as it is.
+    """
+    cells, large = [Cells(margin) for _ in mats], None
+    if n <= block_rows:
+        return cells
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        for b in batches:
+            if b.num_rows:
+                raw = b.column(0).to_pylist()
+                x = _floats(raw, size)
+                for t, mat in enumerate(mats):
+                    yield t, raw, *cells[t].of(x @ mat)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(c.left), np.int64) for c in cells]
+        for t, _, _, nodes in blocks_of(batches):
+            total[t] += np.bincount(nodes, minlength=len(total[t]))
+        for t, own in enumerate(total):
+            nodes = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), t)), pa.array(nodes), pa.array(own[nodes])], ["tree", "node", "n"])
+
+    for turn in range(ROUNDS):
+        if turn:
+            rows = points.select("vec").mapInArrow(count, "tree bigint, node bigint, n bigint").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+            found = {(r.tree, r.node): r.n for r in rows.where(F.col("n") > block_rows).collect()}
+            large = {k: c for k, c in found.items() if large is None or large.get(k) != c}  # the others can't be cut
+            if not large:
+                break
+        share = min(1.0, sample_rows / (sum(large.values()) if large else n))
+        seen = points.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, raw, rows, nodes in blocks_of(batches):
+                at = np.flatnonzero([(t, i) in large for i in nodes.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t)), pa.array(nodes[at]), pa.array([raw[i] for i in rows[at]], pa.binary())], ["tree", "node", "vec"])
+
+        if large:
+            got = seen.mapInArrow(keep, "tree bigint, node bigint, vec binary").toArrow()
+            tree, node, x = got["tree"].to_numpy(), got["node"].to_numpy(), _floats(got["vec"].to_pylist(), size)
+            for t, i in sorted(large):
+                cells[t].grow(i, x[(tree == t) & (node == i)] @ mats[t], 1 / share, block_rows)
+        else:
+            x = _floats(seen.toArrow().column(0).to_pylist(), size)
+            for t, mat in enumerate(mats):
+                cells[t].grow(0, x @ mat, 1 / share, block_rows)
+    return cells
+
+
+def _floats(raw: list[bytes], size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.int16).reshape(-1, size).astype(np.float32) / np.float32(UNIT)
+
+
 def most_similar(
     df: DataFrame,
     id_col: str = "id",
@@ -213,71 +308,71 @@ def most_similar(
     k: int = 5,
     floor: float = 0.85,
     size: int = 64,
-    trees: int = 4,
-    block_rows: int = 65_536,
+    trees: int = 2,
+    block_rows: int = 32_768,
     leaf: int = 512,
-    p_stop: float = 0.5,
-    sample_rows: int = 16_384,
+    p_border: float = 0.5,
+    p_stop: float = 0.8,
+    sample_rows: int = 65_536,
 ) -> DataFrame:
     """``id, other, sim``: the ``k`` most similar other usable rows of every usable row, of those with a cosine of ``floor`` or more.
 
     Rows repeated with the same id are one row. Vectors that are null, not JSON, of another length than ``size``, not
     finite or all zero are no rows; an empty table gives none. Between equal cosines the smaller id comes first. Other
-    columns of ``df`` are not read. ``trees`` (of one block, more of many), ``leaf`` and ``p_stop`` set the accuracy;
-    measured recall is in the README.
-    ``sample_rows`` bounds the rows that fit the upper cells (64 a block beyond that).
+    columns of ``df`` are not read. ``trees``, the number of projections, and the probabilities at which the test
+    stops at the border of a block (``p_border``) and within it (``p_stop``) set the accuracy; measured recall is in the
+    README. ``sample_rows`` bounds the rows that cuts are fitted on at a time.
     """
-    spark = df.sparkSession
     points = cut(
         unit_vectors(df, id_col, vec_col, size).groupBy("vec").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     )
     n = points.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / block_rows)))
-    trees = trees_for(trees, depth)
     mats = projections(trees, size)
-    cells = [(np.zeros(1, np.int32), np.zeros(1, np.float32))] * trees
-    if depth:
-        want = max(sample_rows, 64 * 2**depth)
-        share = min(1.0, want / n)
-        seen = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toArrow()
-        sample = np.frombuffer(b"".join(seen.column(0).to_pylist()), np.int16).reshape(-1, size).astype(np.float32) / UNIT
-        cells = [fit_cells(sample @ mats[t], depth) for t in range(trees)]
+    margin = math.sqrt(chi_square_quantile(p_border, 1) * (2 - 2 * floor))
+    cells = fit_cells(points, mats, n, size=size, margin=margin, block_rows=block_rows, sample_rows=sample_rows)
+    numbers = {at: i for i, at in enumerate((t, node) for t in range(trees) for node in cells[t].blocks())}
+    number = [np.array([numbers.get((t, node), -1) for node in range(len(cells[t].left))]) for t in range(trees)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, size).astype(np.float32) / UNIT
+            x = _floats(b.column(0).to_pylist(), size)
             for t in range(trees):
-                block = cell_of(x @ mats[t], *cells[t]) * trees + t
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), b.column(1), b.column(0)], ["block", "id", "vec"])
+                rows, nodes = cells[t].of(x @ mats[t])
+                own = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(number[t][nodes], pa.int32()), own.column(1), own.column(0)], ["block", "id", "vec"])
 
-    def search(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table.column("id"))  # so that ties don't depend on the order of arrival
-        table = table.take(order)
+    tree_of = [t for t, _ in numbers]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        table = table.take(pa.compute.sort_indices(table.column("id")))  # so that ties don't depend on the order of arrival
         ids = table.column("id").to_numpy()
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.int16).reshape(-1, size).astype(np.float32) / UNIT
+        x = _floats(table.column("vec").to_pylist(), size)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        idx, sim = search_block(x, x @ mats[int(table.column("block")[0].as_py()) % trees], k, floor, leaf, p_stop)
+        idx, sim = search_block(x, x @ mats[tree_of[table.column("block")[0].as_py()]], k, floor, leaf, p_stop)
         a, b = np.nonzero(idx >= 0)
-        return pa.table({"id": ids[a], "other": ids[idx[a, b]], "sim": sim[a, b]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[idx[a, b]]), pa.array(sim[a, b])], ["id", "other", "sim"])
 
-    placed = points.select("vec", "id").mapInArrow(place, "block bigint, id bigint, vec binary")
-    # One block is one task's work, so blocks are dealt out evenly instead of by hash.
-    parts = max(1, trees * 2**depth)
-    placed = placed.repartition(parts, "block") if parts > 1 else placed
-    links = placed.groupBy("block").applyInArrow(search, "id bigint, other bigint, sim float")
+    # Each block is one partition: blocks are numbered, and a row's partition is the number of its block.
+    placed = points.select("vec", "id").mapInArrow(place, "block int, id bigint, vec binary").repartitionById(len(numbers), F.col("block"))
+    links = placed.mapInArrow(search, "id bigint, other bigint, sim float")
     links = links.groupBy("id", "other").agg(F.max("sim").alias("sim"))
 
     # Records with equal vectors: each links to the first k others, and other points' links lead to the first k of them.
     rows = unit_vectors(df, id_col, vec_col, size)
     several = points.where(F.col("last") > F.col("id")).select(F.col("id").alias("point"), "vec")
     if not several.isEmpty():
-        copies = rows.join(several, "vec").select("point", "id").distinct()
+        copies = cut(skew_left_join(rows, several, "vec").where("point is not null").select("point", "id").distinct())
+        hot = hottest_keys(copies, "point")
         rank = F.row_number().over(Window.partitionBy("point").orderBy("id"))
         firsts = copies.withColumn("rank", rank).where(F.col("rank") <= k + 1)
         first_ids = firsts.groupBy("point").agg(F.sort_array(F.collect_list("id")).alias("firsts"))
-        own = copies.join(first_ids, "point")
+        own = skew_left_join(copies, first_ids, "point", hot)
         equal = own.select("id", F.explode("firsts").alias("other")).where("id <> other").withColumn("sim", F.lit(1.0).cast("float"))
         ahead = first_ids.withColumnRenamed("point", "other")
         spread = links.join(ahead, "other", "left").select("id", F.explode(F.coalesce("firsts", F.array("other"))).alias("other"), "sim")

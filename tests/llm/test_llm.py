@@ -48,6 +48,26 @@ def test_neighbours_across_the_borders_of_many_blocks(spark):
     assert len(want & got) / len(want) >= 0.97
 
 
+def test_cells_are_bounded_and_keep_neighbours_together():
+    m = vectors(6000, spread=0.3, groups=300)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    y = m.astype(np.float32) @ neighbours.projections(1, 16)[0]
+    cells = neighbours.Cells(0.37)
+    cells.grow(0, y, 1.0, 400)
+    rows, nodes = cells.of(y)
+    sizes = np.bincount(nodes)
+    assert sizes.max() <= 400 and sizes[sizes > 0].min() > 20
+    assert set(rows.tolist()) == set(range(6000)) and set(nodes.tolist()) <= set(cells.blocks())
+    own = {}
+    for r, at in zip(rows.tolist(), nodes.tolist()):
+        own.setdefault(r, set()).add(at)
+    pairs = brute(m, 5, 0.85)
+    assert sum(not own[a].isdisjoint(own[b]) for a, b in pairs) >= 0.8 * len(pairs)
+    same = neighbours.Cells(0.37)
+    same.grow(0, np.ones((500, 3), np.float32), 1.0, 100)
+    assert same.blocks() == [0]
+
+
 def test_neighbours_of_bad_equal_and_repeated_rows(spark):
     one, two = [1.0, 0, 0, 0], [0, 1.0, 0, 0]
     rows = [(i, json.dumps(one)) for i in range(1, 10)] + [(1, json.dumps(one)), (20, "[2,0,0,0]"), (21, json.dumps([1.0, 0.01, 0, 0])), (22, json.dumps(two))]
