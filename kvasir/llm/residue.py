@@ -2,17 +2,23 @@
 
 Labelled exemplars of residue, and of sentences that only speak about such things, are indexed by their terms. Terms are
 weighted by how few documents of the whole corpus have them. A document's terms retrieve the exemplars through the
-inverted index; for each retrieved one the passage window with the highest TF-IDF containment is sought, the weight of
-the exemplar's terms found in the window over the exemplar's whole weight. A window of high containment is residue
-unless its sentence contains more of an exemplar that speaks about such things.
+inverted index; for each retrieved one the passage window with the highest TF-IDF containment is sought, and a window of
+high containment is residue unless its sentence contains more of an exemplar that speaks about such things.
 
-Terms are matched with one typing error and other endings; placeholders of every notation are one term, numbers another.
+Three sorts of exemplars are told apart by what is their window. Of a sentence it is a run of words, and containment is the
+weight of the exemplar's terms found there over its whole weight. Of a placeholder it is a bracketed group of any length,
+whose terms are its brackets and what they hold (a name, a number, a word that asks for something). Of running filler,
+longer than a window, it is a run of six words, and containment is the share of their weight that the exemplar has.
+
+Terms are matched with one typing error and other endings; words of one meaning, whatever their language, are one term,
+and so are all numbers. An index entry is kept only for an exemplar's rarest terms, of which a match must have one.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -22,42 +28,69 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvasir.llm.residue_exemplars import LATIN_FILLER, LEGIT, RESIDUE
+from kvasir.llm.residue_exemplars import ASKING, LATIN_FILLER, LEGIT, MEANINGS, PLACEHOLDERS, RESIDUE
 
 SLOT, NUM = "slot", "num"
 _MARK = "\ue000"  # stands for a placeholder while a text is cut
-FILLER_RUN = 8  # words of a window judged for Latin filler
+RUN = 6  # words of a window of running filler
+LEAST_RUN = 4
 _KEEP = 300_000  # words that a worker remembers
 
-_ASK = (
-    r"встав|указ|допис|заполн|впиш|введ|уточн|назван|дата|insert|enter|fill|here|your|\btbd\b|\btodo\b|to be|einf[uü]g|eintrag|ergänz|hier|"
-    r"name|valeur|compl[ée]ter|ins[ée]rer|remplir|ici\b|\bnom\b|wert|datum"
-)
-_SLOTS = regex.compile(
-    r"\{\{[^{}\n]{1,80}\}\}"
-    r"|\$\{[^{}\n]{1,80}\}"
-    r"|<%[^%\n]{1,80}%>"
-    r"|\[\[[^\[\]\n]{1,80}\]\]"
-    r"|@@[\w. ]{1,60}@@"
-    r"|%\([\w.]{1,60}\)[sdif]"
-    r"|%[\p{L}_][\w.]{1,60}%"
-    r"|\#[\p{Lu}_][\p{Lu}\d_.]{1,60}\#"
-    r"|(?<![\p{L}\d_])__[\p{Lu}\d.]+(?:_[\p{Lu}\d.]+)*__"
-    r"|\$[\p{L}_][\w.]{1,60}\$"
-    r"|\{(?:[\p{L}_][\w.]{0,60}|\d{1,2})\}"
-    r"|<(?:\p{IsCyrillic}[\p{L} _-]{2,60}|TBD|TODO)>"
-    rf"|<(?=[^<>\n|/=]{{3,60}}>)[^<>]*\s[^<>]*(?i:{_ASK})[^<>]*>|<(?=[^<>\n|/=]{{3,60}}>)[^<>]*(?i:{_ASK})[^<>]*\s[^<>]*>"
-    rf"|\[(?=[^\[\]\n|/=]{{3,60}}\])[^\[\]]*(?i:{_ASK})[^\[\]]*\]"
+_GROUPS = re.compile(
+    r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|<%[^%\n]+%>|\[\[[^\[\]\n]+\]\]|@@[^@\n]+@@|%\([^()\n]+\)[sdif]|%[^\W\d][\w.]+%|#[^\W\d][\w.]+#"
+    r"|(?<!\w)__[^\W_][\w.]*?__(?!\w)|\$[^\W\d][\w.]+\$|\{[^{}\n]+\}|<[^<>\n]+>|\[[^\[\]\n]+\]"
 )
-_WORDS = regex.compile(_MARK + r"|\d[\d.,]*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|(?<=[.!?…:;])\s|\n")
+_OPENERS = re.compile(r"[{$<\[@%#_]")
+_HOLDERS = ("{{", "${", "<%", "[[", "@@", "%(", "%", "#", "__", "$", "{", "<", "[")
+_NAME = re.compile(r"\s*[^\W\d][\w.]*\s*")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['\u0300-\u036f][^\W\d_]+)*")
+_WORDS = re.compile(_MARK + r"|\d[\d.,]*|[^\W\d_]+(?:['\u0300-\u036f][^\W\d_]+)*|(?<=[.!?…:;])\s|\n")
+_DIGIT = re.compile(r"\d")
 _HIDDEN = regex.compile(r"[\p{Cf}]")
+_CYRILLIC = re.compile(r"[а-яА-ЯёЁ][а-яА-ЯёЁ _-]+")
+
+
+def folded(text: str) -> str:
+    """Lower case, compatibility forms composed, invisible characters dropped, one sign for apostrophes and for е and ё."""
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).replace("’", "'")
+    return text.lower().replace("ё", "е")
+
+
+def group_terms(group: str) -> list[str]:
+    """The terms of a bracketed group: its brackets, and ``name``, ``index``, ``label`` or ``asks`` for what they hold."""
+    mark = next(m for m in _HOLDERS if group.startswith(m))
+    inner = group[len(mark) : len(group) - (2 if mark in ("%(", "<%") else 1 if mark == "${" else len(mark))]
+    terms = [mark]
+    if mark in ("#", "__") and inner.upper() != inner:
+        return terms
+    if mark == "<":
+        if any(c in inner for c in "|/="):
+            return []
+        words = _PLAIN.findall(folded(inner))
+        if _CYRILLIC.fullmatch(inner):
+            terms.append("label")
+        elif len(words) < 2 and not any(w in ("tbd", "todo") for w in words):
+            return []
+    elif inner.strip().isdecimal() and len(inner.strip()) <= 2:
+        terms.append("index")
+    elif _NAME.fullmatch(inner):
+        terms.append("name")
+    if any(asks(w) for w in _PLAIN.findall(folded(inner))):
+        terms.append("asks")
+    return terms
+
+
+@functools.lru_cache(maxsize=50_000)
+def asks(word: str) -> bool:
+    """Whether a word within brackets asks for something to be filled in, or names what is to be filled in."""
+    return word.startswith(ASKING[0]) or word in ASKING[1]
 
 
 def sequence(text: str) -> list[str]:
-    """The words of a text in lower case, with ``slot``, ``num`` and, between sentences and lines, empty strings."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", _SLOTS.sub(f" {_MARK} ", text)))
+    """The words of a text with ``slot``, ``num`` and, between sentences and lines, empty strings."""
     out = []
-    for w in _WORDS.findall(text):
+    for w in _WORDS.findall(folded(text)):
         if w == _MARK:
             out.append(SLOT)
         elif w[0].isdecimal():
@@ -65,7 +98,7 @@ def sequence(text: str) -> list[str]:
         elif w.isspace():
             out.append("")
         else:
-            out.append(w.lower().replace("ё", "е").replace("’", "'"))
+            out.append(w)
     return out
 
 
@@ -86,69 +119,105 @@ def _stem(word: str) -> str:
     return word if len(word) < 6 else word[: max(5, len(word) - 2)]
 
 
+def _meaning(word: str) -> str | None:
+    """The meaning of a word: that of a listed beginning, with an ending of up to four letters."""
+    for n in range(min(len(word), 12), 1, -1):
+        if len(word) - n <= (4 if n > 3 else 0) and (found := MEANINGS.get(word[:n])):
+            return found
+    return None
+
+
 class Exemplars:
-    """The inverted index of the labelled exemplars."""
+    """The labelled exemplars and the terms of their words."""
 
     def __init__(self) -> None:
         lines = [(kind, line) for kind, block in RESIDUE.items() for line in block.strip().split("\n")]
         lines += [("", line) for line in LEGIT.strip().split("\n")]
-        self.kinds = [kind for kind, _ in lines]
-        words = [[w for w in sequence(line) if w] for _, line in lines]
-        self.vocabulary: dict[str, str] = {}  # word -> term
+        words = [_PLAIN.findall(folded(line)) for _, line in lines]
+        names = {*MEANINGS.values()}  # may stand in an exemplar for any of their words
+        self.vocabulary: dict[str, str] = {SLOT: SLOT, NUM: NUM}  # word -> term
         for ws in words:
             for w in ws:
-                self.vocabulary.setdefault(w, _stem(w))
+                self.vocabulary.setdefault(w, w if w in names else _meaning(w) or _stem(w))
+        self.stems = set(self.vocabulary.values())
         self.filler = set(LATIN_FILLER.split())
-        self.terms = [Counter(self.vocabulary[w] for w in ws) for ws in words]
-        self.lengths = [len(ws) for ws in words]
-        self.index: dict[str, list[int]] = {}
-        for e, terms in enumerate(self.terms):
-            for t in terms:
-                self.index.setdefault(t, []).append(e)
-        self.by_head: dict[tuple[str, int], list[str]] = {}
+        bags: dict[tuple[str, frozenset], list[str]] = {}
+        for (kind, _), ws in zip(lines, words):  # exemplars of the same terms are one
+            own = [self.vocabulary[w] for w in ws]
+            bags.setdefault((kind, frozenset(Counter(own).items())), own)
+        self.kinds = [kind for kind, _ in bags]
+        self.terms = [Counter(own) for own in bags.values()]
+        self.lengths = [len(own) for own in bags.values()]
+        self.by_part: dict[str, list[str]] = {}
         for w in {*self.vocabulary, *self.filler}:
-            for part in (w[:2], w[2:4]):
-                self.by_head.setdefault((part, 0), []).append(w)
-        self.known: dict[str, str | None] = {}
-
-    def term(self, word: str) -> str | None:
-        """The term that a word stands for, allowing for endings and one typing error in longer words."""
-        if word in self.vocabulary:
-            return self.vocabulary[word]
-        if word in self.known:
-            return self.known[word]
-        found = None
-        if len(word) > 5 and _stem(word) in self.index:
-            found = _stem(word)
-        elif len(word) > 4:
-            near = {w for part in (word[:2], word[2:4]) for w in self.by_head.get((part, 0), []) if len(w) > 4 and _near(word, w)}
-            hit = min(near & self.vocabulary.keys(), default=None)
-            found = self.vocabulary[hit] if hit else None
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        self.known[word] = found
+            if len(w) > 4:
+                for part in {w[:2], w[2:4], w[-3:]}:
+                    self.by_part.setdefault(part, []).append(w)
+        self.known: dict[str, tuple[str | None, str | None]] = {}
+
+    def near(self, word: str) -> list[str]:
+        """The listed words of five letters or more within one typing error."""
+        if len(word) < 5:
+            return []
+        return sorted({w for part in {word[:2], word[2:4], word[-3:]} for w in self.by_part.get(part, ()) if _near(word, w)})
+
+    def terms_of(self, word: str) -> tuple[str | None, str | None]:
+        """The term of the sentences' exemplars and the word of the running filler that a word stands for."""
+        found = self.known.get(word)
+        if found is None:
+            term, filler = self.vocabulary.get(word), word if word in self.filler else None
+            if term is None and (meaning := _meaning(word)) in self.stems:
+                term = meaning
+            if term is None and len(word) > 5 and _stem(word) in self.stems:
+                term = _stem(word)
+            if term is None and filler is None:
+                near = self.near(word)
+                term = next((self.vocabulary[w] for w in near if w in self.vocabulary), None)
+                filler = next((w for w in near if w in self.filler and len(w) > 5 and len(word) > 5), None)
+            if len(self.known) > _KEEP:
+                self.known.clear()
+            found = self.known[word] = (term, filler)
         return found
 
-    def is_filler(self, word: str) -> bool:
-        """Whether a word is one of the Latin filler, allowing for one typing error in longer words."""
-        if word in self.filler:
-            return True
-        return len(word) > 5 and any(w in self.filler and len(w) > 5 and _near(word, w) for w in self.by_head.get((word[:2], 0), []))
-
 
 @functools.lru_cache(maxsize=1)
 def exemplars() -> Exemplars:
-    """This process's index."""
+    """This process's exemplars."""
     return Exemplars()
 
 
+def _groups(text: str) -> list[tuple[int, int, list[str]]]:
+    """The bracketed groups of a text with their terms, each told from words by a sign before it."""
+    if not _OPENERS.search(text):
+        return []
+    found = [(m.start(), m.end(), group_terms(m[0])) for m in _GROUPS.finditer(text)]
+    return [(a, b, ["<>" + t for t in terms]) for a, b, terms in found if terms]
+
+
 class Scanner:
     """Judges texts with the term weights of a corpus."""
 
     def __init__(self, weights: dict[str, float], most: float, threshold: float):
         self.x, self.most, self.threshold = exemplars(), most, threshold
-        self.weight = {t: weights.get(t, most) for t in self.x.index}
-        self.total = [sum(self.weight[t] * n for t, n in terms.items()) for terms in self.x.terms]
+        x = self.x
+        self.weight = {t: weights.get(t, most) for t in {t for own in x.terms for t in own}}
+        self.total = [sum(self.weight[t] * n for t, n in own.items()) for own in x.terms]
+        self.filler = {w: weights.get("~" + w, most) for w in x.filler}
+        self.holders = []  # the exemplars of placeholders, as sets of terms with their weights
+        for line in PLACEHOLDERS.strip().split("\n"):
+            own = {t: weights.get(t, most) for t in ("<>" + t for t in line.split())}
+            self.holders.append((own, sum(own.values())))
+        # A window of high containment lacks less than the rest of the weight, so it has one of the rarest terms.
+        self.index: dict[str, list[int]] = {}
+        for e, own in enumerate(x.terms):
+            if x.kinds[e]:
+                seen = 0.0
+                for t in sorted(own, key=lambda t: (-self.weight[t], t)):
+                    if seen > (1 - threshold) * self.total[e]:
+                        break
+                    self.index.setdefault(t, []).append(e)
+                    seen += self.weight[t] * own[t]
+        self.legit = [e for e, kind in enumerate(x.kinds) if not kind]
 
     def best_window(self, e: int, terms: list[str | None], lo: int, hi: int) -> tuple[float, int, int]:
         """The highest containment of exemplar ``e`` in a window between two places, and the window."""
@@ -171,27 +240,65 @@ class Scanner:
                 best, at = got, (i, last + 1)
         return best / self.total[e] if self.total[e] else 0.0, *at
 
+    def holds(self, terms: list[str]) -> bool:
+        """Whether a bracketed group contains enough of an exemplar of placeholders."""
+        return any(sum(w for t, w in own.items() if t in terms) >= self.threshold * total for own, total in self.holders)
+
     def scan(self, text: str | None) -> tuple[float, str | None]:
         """The highest containment of residue in the text and its kind; 0 and None if there is none."""
         if not text:
             return 0.0, None
+        groups = [(a, b) for a, b, terms in _groups(text) if self.holds(terms)]
+        if groups:
+            ends = [0, *(b for _, b in groups)]
+            starts = [*(a for a, _ in groups), len(text)]
+            text = f" {_MARK} ".join(text[a:b] for a, b in zip(ends, starts))
+        words = _PLAIN.findall(folded(text))
+        both = [self.x.terms_of(w) for w in words]
+        have = Counter([t for t, _ in both if t])
+        have[NUM] = 8  # as many as any exemplar asks for
+        if groups:
+            have[SLOT] = len(groups)
+        latin = sum(1 for _, f in both if f) >= LEAST_RUN - 1
+        hits = {e for t in have for e in self.index.get(t, ())}
+        hits = {e for e in hits if sum(self.weight[t] * min(n, have[t]) for t, n in self.x.terms[e].items()) >= self.threshold * self.total[e]}
+        broken = not hits and self._mended(words)
+        if not (hits or latin or broken):
+            return 0.0, None
         words = sequence(text)
-        terms = [self.x.term(w) if w else None for w in words]
-        filler = self._filler(words)
-        if filler:
-            return filler, "filler"
-        have = Counter(t for t in terms if t)
-        found: Counter = Counter()
-        for t, n in have.items():
-            for e in self.x.index[t]:
-                found[e] += self.weight[t] * min(n, self.x.terms[e][t])
-        best, kind = 0.0, None
-        hits = sorted((e for e, got in found.items() if self.x.kinds[e] and got >= self.threshold * self.total[e]), key=lambda e: -self.total[e])
-        for e in hits:
+        if broken:
+            words = self._mend(words)
+            terms = [self.x.terms_of(w)[0] if w else None for w in words]
+            have = Counter(t for t in terms if t)
+            hits = {e for t in have for e in self.index.get(t, ())}
+        else:
+            terms = [self.x.terms_of(w)[0] if w else None for w in words]
+        best, kind = self._running(words) if latin else 0.0, "filler"
+        for e in sorted(hits, key=lambda e: (-self.total[e], e)):
             for score, lo, hi in self._windows(e, terms):
-                if score > best and not self._spoken_about(words, terms, e, score, lo, hi, found):
+                if score > best and not self._spoken_about(words, terms, e, score, lo, hi):
                     best, kind = score, self.x.kinds[e]
-        return best, kind
+        return (best, kind) if best > 0 else (0.0, None)
+
+    def _mended(self, words: list[str]) -> bool:
+        """Whether a letter moved over the space between two words gives a rare term that an exemplar is found by."""
+        for a, b in zip(words, words[1:]):
+            for w in (a + b[0], a[-1] + b):
+                if len(w) > 4 and w in self.x.vocabulary and self.x.vocabulary[w] in self.index:
+                    return True
+        return False
+
+    def _mend(self, words: list[str]) -> list[str]:
+        """The words with letters that were moved over a space put back."""
+        out = list(words)
+        for i in range(len(out) - 1):
+            a, b = out[i], out[i + 1]
+            if a and b and SLOT not in (a, b) and NUM not in (a, b):
+                for x, y in ((a + b[0], b[1:]), (a[:-1], a[-1] + b)):
+                    if (len(x) > 4 and x in self.x.vocabulary and a not in self.x.vocabulary) or (len(y) > 4 and y in self.x.vocabulary and b not in self.x.vocabulary):
+                        out[i], out[i + 1] = x or NUM, y or NUM
+                        break
+        return out
 
     def _windows(self, e: int, terms: list[str | None]) -> Iterator[tuple[float, int, int]]:
         """All windows that reach the threshold, one after the other."""
@@ -208,15 +315,16 @@ class Scanner:
             else:
                 at = spot + 1
 
-    def _spoken_about(self, words: list[str], terms: list[str | None], e: int, score: float, lo: int, hi: int, found: Counter) -> bool:
+    def _spoken_about(self, words: list[str], terms: list[str | None], e: int, score: float, lo: int, hi: int) -> bool:
         """Whether the sentence around a window contains an exemplar that speaks about residue, or too little besides a brief one."""
         a, b = lo, hi
         while a > 0 and words[a - 1]:
             a -= 1
         while b < len(words) and words[b]:
             b += 1
-        for other, got in found.items():
-            if not self.x.kinds[other] and got >= 0.5 * self.total[other]:
+        near = Counter(t for t in terms[max(0, a - 1) : b + 41] if t)
+        for other in self.legit:
+            if sum(self.weight[t] * min(n, near[t]) for t, n in self.x.terms[other].items()) >= 0.5 * self.total[other]:
                 size = self.x.lengths[other]
                 s, _, _ = self.best_window(other, terms, max(0, a - 1), min(len(words), max(b, a + size) + 1))
                 if s * self.total[other] > score * self.total[e] and s >= 0.55:
@@ -224,19 +332,28 @@ class Scanner:
         if self.x.kinds[e] == "placeholder":
             return False
         # A brief exemplar must be most of its sentence; a long one is specific enough by itself.
-        sentence = [w for w in words[a:b] if w]
         if self.x.lengths[e] <= 3:
-            return len(sentence) > 2 * self.x.lengths[e] + 2
+            return sum(1 for w in words[a:b] if w) > 2 * self.x.lengths[e] + 2
         return False
 
-    def _filler(self, words: list[str]) -> float:
-        """The share of Latin filler in the densest run of words (of at least four), 0 below the threshold."""
-        flags = [self.x.is_filler(w) for w in words if w and w != NUM]
-        best, run = 0.0, sum(flags[:FILLER_RUN])
-        for i in range(max(1, len(flags) - FILLER_RUN + 1)):
-            best = max(best, run / max(4, min(FILLER_RUN, len(flags))))
-            run += (flags[i + FILLER_RUN] if i + FILLER_RUN < len(flags) else 0) - (flags[i] if flags else 0)
-        return best if best >= self.threshold else 0.0
+    def _running(self, words: list[str]) -> float:
+        """The highest share of running filler in the weight of a window within a sentence, 0 below the threshold."""
+        best, at = 0.0, 0
+        while at < len(words):
+            end = next((i for i in range(at, len(words)) if not words[i]), len(words))
+            flags = []
+            for w in words[at:end]:
+                if w != NUM:
+                    term, filler = self.x.terms_of(w)
+                    flags.append((self.filler[filler], True) if filler else (self.weight.get(term, self.most) if term else self.most, False))
+            for i in range(max(1, len(flags) - RUN + 1)):
+                own = flags[i : i + RUN]
+                got = sum(w for w, f in own if f)
+                rest = sum(w for w, f in own if not f) + self.most * max(0, LEAST_RUN - len(own))
+                if sum(f for _, f in own) >= LEAST_RUN - 1 and got >= self.threshold * (got + rest) * 0.999:
+                    best = max(best, got / (got + rest))
+            at = end + 1
+        return best
 
 
 def term_weights(df: DataFrame, text_col: str = "text") -> tuple[dict[str, float], float]:
@@ -251,7 +368,18 @@ def term_weights(df: DataFrame, text_col: str = "text") -> tuple[dict[str, float
             for text in b.column(0).to_pylist():
                 n += 1
                 if text:
-                    df_of.update({t for w in set(sequence(text)) if w and (t := x.term(w))})
+                    own = set()
+                    for w in set(_PLAIN.findall(folded(text))):
+                        term, filler = x.terms_of(w)
+                        if term:
+                            own.add(term)
+                        if filler:
+                            own.add("~" + filler)
+                    for _, _, terms in _groups(text):
+                        own.update((SLOT, *terms))
+                    if _DIGIT.search(text):
+                        own.add(NUM)
+                    df_of.update(own)
         df_of[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(df_of), pa.string()), pa.array(list(df_of.values()), pa.int64())], ["term", "n"])
 

@@ -1,8 +1,57 @@
 """Labelled exemplars of template residue, and of texts that only speak about such things.
 
-One exemplar a line. ``slot`` stands for an unfilled placeholder of any notation.
+One exemplar a line. ``slot`` stands for an unfilled placeholder of any notation, ``num`` for a number. Words of one
+meaning stand for one another, see ``MEANINGS``.
 """
 
+# Placeholders: an opening bracket, and what is within: a name, an index, a label in words, or a word that asks.
+PLACEHOLDERS = """
+{{
+${
+<%
+[[
+@@
+%(
+% name
+# name
+__ name
+$ name
+{ name
+{ index
+[ asks
+< asks
+< label
+"""
+
+# Beginnings of words, and whole words, that ask for something to be filled in or name it.
+ASKING = (
+    ("встав", "указ", "допис", "заполн", "впиш", "введ", "уточн", "назван", "наимен", "insert", "enter", "fill", "einfüg", "einfug", "eintrag", "ergänz",
+     "complét", "complet", "insér", "inser", "rempli", "défin", "defin", "confirm", "ersetz", "remplac"),
+    frozenset("дата значение here your tbd todo tba hier name wert datum valeur nom ici".split()),
+)
+
+_WORDS = {
+    "page": "страниц раздел документ каталог карточк вкладк файл сайт адрес содержим контент page section document catalogue catalog file content site seite datei "
+    "dokument katalog inhalt abschnitt fichier contenu rubrique",
+    "js": "javascript js скрипт сценари script scripts scripting skript skripte",
+    "on": "включит активир разреш enable enabling ennable activat allow aktivier activez activer",
+    "load": "загруз откр показ отобраз работае load display show open fetch run work geladen geöffnet angezeigt anzuzeigen charger afficher ouvrir fonctionne",
+    "fail": "удалос failed unable could cannot konnte konnten impossible",
+    "without": "без without ohne sans",
+    "not": "не not nicht ne pas doesn't don't can't won't couldn't",
+    "gone": "удален удалена перенесен перенесена gone removed deleted moved",
+    "exist": "существует exist exists existe existiert",
+    "request": "запрос операци",
+    "refused": "отклонен выполняется завершил выполнен",
+    "pending": "заполнен готовится уточняется наполняется",
+    "replace": "замените перепишите replace overwrite ersetzen remplacez",
+    "prose": "текст абзац рассказ",
+    "subject": "издели компани серию",
+    "filltext": "mustertext blindtext beispieltext platzhaltertext",
+}
+#: Meanings of words by their beginnings.
+MEANINGS = {w: meaning for meaning, words in _WORDS.items() for w in words.split()}
+
 RESIDUE = {
     "placeholder": """
 slot
@@ -100,6 +149,41 @@ faux texte faux texte
 ceci est un faux texte
 page en construction
 seite im aufbau
+текст page товара пока не pending
+описание page пока не pending
+page товара в разработке
+описание товара в разработке
+описание page в разработке
+page пока не pending
+page товара pending
+описание page pending
+содержание page pending
+text folgt
+beschreibung folgt
+replace этот текст
+replace this text
+heading num heading num body text
+page à définir
+здесь будет prose про subject
+здесь должен быть prose про subject
+здесь разместим prose про subject
+тут будет prose про subject
+тут должен быть prose про subject
+тут разместим prose про subject
+в этом блоке будет prose про subject
+в этом блоке должен быть prose про subject
+в этом блоке разместим prose про subject
+не забыть поменять
+copy still missing
+body still missing
+body to follow do not publish
+copy to follow do not publish
+copy to follow
+body to follow
+prose page pending
+prose page товара pending
+бла бла бла
+fill in this block with your own words
 """,
     "error": """
 ошибка num
@@ -232,6 +316,53 @@ accès refusé
 trop de requêtes
 une erreur est survenue
 votre session a expiré
+не fail load page
+не fail load page код num
+не fail load данные
+не fail load данные код num
+fail not load this page
+fail to load the page
+fail to load this page code num
+fail de load le page
+fail not load the page contact the page administrator
+page fail not load
+page fail not load werden
+такого page больше нет
+такого page больше не exist
+такого page у нас нет
+увы такого page больше нет
+увы такого page не exist
+жаль такого page у нас нет
+page больше не exist
+page больше не доступен
+page не найден или повреждён
+page не найден
+запрошенный page gone
+то что вы запросили gone
+the page you are looking for is gone
+the page you are looking for was gone
+the page you are looking for has been gone
+what you requested is gone
+what you requested was gone
+what you are looking for is gone
+what you are looking for was gone
+what you are looking for has gone
+the page no longer exist
+was sie suchen existiert not mehr
+das gesuchte page existiert not mehr
+ce que vous cherchez n'existe plus
+la page demandée n'existe plus
+request не refused превышен лимит
+request refused сервером превышен лимит
+request не refused
+request refused сервером
+request refused с ошибкой num
+request не refused истекло время ожидания
+contact the page administrator
+the page you requested was gone
+the page you requested is gone
+the page you requested has gone
+the page you requested no longer exist
 """,
     "scripts": """
 включите javascript в браузере
@@ -283,6 +414,33 @@ javascript est désactivé dans votre navigateur
 ce site nécessite javascript
 le catalogue ne fonctionne pas sans javascript
 votre navigateur ne prend pas en charge javascript
+page не load без js
+page not load without js
+this page will not load without js
+our page does not load without js
+page funktioniert not without js
+page not load without client-side js
+without js load page not
+on js
+on js в браузере
+on js чтобы load page
+on js to load page
+on поддержку js
+on поддержку js в браузере чтобы load page
+on js иначе не получится load page
+on поддержку js иначе не получится load page
+turn on js to load this page
+turn on js in your browser to load this page
+switch on js before you can load the page
+bitte on sie js um this page load
+veuillez on js pour load cette page
+js отключены в браузере
+page требует js
+page requires js
+on js before you can load the page
+turn on js before you can load the page
+without js fail the page not load
+js sont désactivés le page ne peut pas load
 """,
 }
 

@@ -212,6 +212,16 @@ def test_residue(spark):
     assert residue.residue_scores(df.limit(0)).count() == 0
 
 
+def test_residue_of_long_odd_and_near_forms(spark):
+    bad = [
+        "Name: [Insert a detailed description of the product, its use, its benefits and, where it applies, the conditions of storage and transport here]", "Size {{ " + "a_long_name_" * 12 + " }} mm",
+        "MAGNA AD QUIS LABORIS EX LOREM SIT ADIPISCING DO", "Каталог не откроется без сценариев.", "Veuillez activer JavaScript pou rafficher cette page.", "The file you requested has been removed", "<НАЗВАНИЕ СЕРИИ>",
+    ]
+    good = ["See {16; 20; 25} and [3].", "<b>bold</b> <name>", "#shift __init__ $5 or $6 %d", "Le joint est sec et ne fuit pas, do not sit in it.", "If the display shows \"not found\", check the sensor wiring.", "[" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good + PRODUCT * 60)], "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_scores(df).where("score > 0").collect()} == set(range(len(bad)))
+
+
 def test_residue_in_a_long_text(spark):
     df = spark.createDataFrame([(1, " ".join(PRODUCT * 3000) + " Internal server error. " + " ".join(PRODUCT * 50)), (2, " ".join(PRODUCT))], "doc_id long, text string")
     assert {r.doc_id: r.kind for r in residue.residue_scores(df).collect()} == {1: "error", 2: None}
