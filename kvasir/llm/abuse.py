@@ -5,71 +5,95 @@ overlapping windows of every text; a text's score is that of its worst window. A
 of itself and the mean of those of its character grams, after letters that are spaced out, masked, repeated or replaced
 by look-alikes have been put right.
 
-A verdict concerns a whole text, so of a long abusive text the window that the network finds worst is trained as abusive.
+A verdict concerns a whole text, so of a long abusive text one window is trained as abusive: at first the one whose words
+come most often in abusive and least in clean texts, later the one that the network finds worst. Of the windows of clean
+texts, those that the network finds worst are trained most.
 Verdicts that are contrary to what the network has learnt from the others in its first rounds are taken as wrong and left out.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvasir.sources.tables import shared_folder
+
 LABELS = ("clean", "abuse", "hate", "sexual")
 WINDOW, STRIDE = 14, 7  # words
 DIM, HIDDEN = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 14
+PRECISION, LEAST_THRESHOLD, MOST_THRESHOLD = 0.97, 0.75, 0.99  # how the threshold is set
+CONTRADICTED = (0.1, 0.9)  # held-out scores of an abusive verdict below, and of a clean one above, that make it a wrong one
 LABEL_ROWS = 12_000  # verdicts that the network is fitted on at most
 SEED = 11
+VERSION = 2  # of the way a model is fitted
 DOUBTS = {2: 0.1, 4: 0.2, 7: 0.3}  # after which twelfths of the rounds verdicts are doubted, and below what chance
 LEAST_STEPS, MOST_ROUNDS = 240, 60
+WORST_FROM, HARD_FROM, HARD = 4, 3, 0.1  # the rounds from which the worst windows are taken, and what is hard
 _KEEP = 200_000  # words that a worker remembers
 
-_HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t]]", regex.V1)
-_SPACED = regex.compile(r"(?<![\p{L}\d])(?:[\p{L}@$0-9#*][\s._*•-]{1,2}){3,}[\p{L}@$0-9](?![\p{L}\d])")
-_BROKEN = regex.compile(r"(?:\p{L}[-_.])+\p{L}{1,2}|\p{L}+[-_]\p{L}{1,2}")
-_BREAK = regex.compile(r"(?<=\p{L})[-_.](?=\p{L})")
-_CYRILLIC = regex.compile(r"\p{IsCyrillic}")
-_CODE = regex.compile(r"https?://\S+|\b\p{Lu}{1,4}-\d[\d-]*|\b\d[\d.,]*(?![\p{L}@$])")
-_WORDS = regex.compile(r"[\p{L}\d@$#*_0-9][\p{L}\p{M}\d@$#*_'’-]*|[!?]+")
-_REPEAT = regex.compile(r"(.)\1{2,}")
+_HIDDEN = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\xad؀-؅؜۝܏᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
+_SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$#*])[\s._*•-]{1,2}){3,}(?:[^\W_]|[@$])(?![^\W_])")
+_BROKEN = re.compile(r"(?:[^\W\d_][-_.])+[^\W\d_]{1,2}|[^\W\d_]+[-_][^\W\d_]{1,2}")
+_BREAK = re.compile(r"(?<=[^\W\d_])[-_.](?=[^\W\d_])")
+_CYRILLIC = re.compile("[Ѐ-ԯ]")
+_CODE = re.compile(r"https?://\S+|\b[^\W\d_]{1,4}-\d[\d-]*|\b\d[\d.,]*(?!(?:[^\W\d_]|[@$]))")
+_WORDS = re.compile(r"(?:[^\W]|[@$#*])(?:\w|[̀-ͯ@$#*'’-])*|[!?]+")
+_REPEAT = re.compile(r"(.)\1{2,}")
 # Latin letters and signs that look like Cyrillic ones, and signs that stand for Latin letters.
 _TO_CYRILLIC = str.maketrans("aceopxykmhtbiur3406@", "асеорхукмнтвиигзчоба")
 _TO_LATIN = str.maketrans("@$013457", "asoieast")
 
 
+_words: dict[str, str] = {}  # tokens as words, as most come again
+
+
+def _word(raw: str) -> str:
+    """A token as a word; empty if nothing is left."""
+    w = raw.lower().replace("ё", "е").strip("_'’-*")
+    if w and any(map(str.isalpha, w)):
+        if _BROKEN.fullmatch(w):
+            w = _BREAK.sub("", w)
+        if _CYRILLIC.search(w):
+            w = w.translate(_TO_CYRILLIC)
+        elif len(w) > 2:
+            w = w.translate(_TO_LATIN)
+        w = _REPEAT.sub(r"\1", w)
+    return w
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case, with obfuscation undone; codes and numbers are ``0``."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    text = _HIDDEN.sub("", text if text.isascii() else unicodedata.normalize("NFKC", text))
     text = _SPACED.sub(lambda m: "".join(c for c in m[0] if c not in " ._*•-\t\n\xa0"), text)
     out = []
     for raw in _WORDS.findall(_CODE.sub(" 0 ", text)):
-        w = raw.lower().replace("ё", "е").strip("_'’-*")
-        if not w:
-            continue
-        if any(map(str.isalpha, w)):
-            if _BROKEN.fullmatch(w):
-                w = _BREAK.sub("", w)
-            if _CYRILLIC.search(w):
-                w = w.translate(_TO_CYRILLIC)
-            elif len(w) > 2:
-                w = w.translate(_TO_LATIN)
-            w = _REPEAT.sub(r"\1", w)
-        out.append(w)
+        w = _words.get(raw)
+        if w is None:
+            if len(_words) > _KEEP:
+                _words.clear()
+            w = _words[raw] = _word(raw)
+        if w:
+            out.append(w)
     return out
 
 
 def grams_of(word: str) -> list[int]:
     """The buckets of a word's character grams."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return sorted({zlib.crc32(w[i : i + n].encode()) % GRAM_BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)})
 
 
@@ -211,17 +235,48 @@ def _noisy(word: str, rng: random.Random) -> str:
     return rng.choice([word[:i] + rng.choice("*#_") + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + word[i] + word[i:], word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :]])
 
 
-def train(samples: list[tuple[str, str]], *, rounds: int = 12, batch: int = 192, rate: float = 0.005, least_clean: int = 3000, seed: int = SEED) -> Network:
-    """A network fitted on ``(text, label)`` verdicts; equal texts count once, with their most frequent label.
+class Model(NamedTuple):
+    """A fitted network and the score from which a text is a case."""
 
-    Each round sees all abusive texts and, drawn anew, ``least_clean`` distinct windows of clean texts or thrice as many
-    as of abusive ones, whichever are more.
+    net: Network
+    threshold: float
+
+
+def train(samples: list[tuple[str, str]], *, rounds: int = 12, seed: int = SEED) -> Model:
+    """A network fitted on ``(text, label)`` verdicts, with its threshold; equal texts count once, with their most frequent label.
+
+    Two networks are fitted first, each on one half of the texts, and judge the other half. A verdict that they contradict
+    is taken as wrong and left out. The threshold is the lowest score at which these held-out verdicts reach
+    :data:`PRECISION`, but not below :data:`LEAST_THRESHOLD`, or :data:`MOST_THRESHOLD` if none does.
     """
     votes: dict[tuple[str, ...], Counter] = defaultdict(Counter)
     for text, label in samples:
         if label in LABELS and (words := tuple(words_of(text))):
             votes[words][label] += 1
     texts = sorted((w, LABELS.index(max(v, key=lambda x: (v[x], -LABELS.index(x))))) for w, v in votes.items())
+    half = [zlib.crc32(" ".join(w).encode()) & 1 for w, _ in texts]
+    held = np.zeros(len(texts))
+    for h in (0, 1):
+        mine = [t for t, own in zip(texts, half) if own != h]
+        if any(y for _, y in mine):
+            at = [i for i, own in enumerate(half) if own == h]
+            held[at] = Scorer(fit(mine, rounds=rounds * 2 // 3, seed=seed + h)).scores([list(texts[i][0]) for i in at]).sum(1)
+    bad = np.array([y > 0 for _, y in texts])
+    wrong = np.where(bad, held < CONTRADICTED[0], held > CONTRADICTED[1])
+    grid = np.arange(LEAST_THRESHOLD, MOST_THRESHOLD, 0.02)
+    good = [t for t in grid if (held >= t).any() and (bad | wrong)[held >= t].mean() >= PRECISION]
+    kept = [t for t, w in zip(texts, wrong) if not w]
+    if not any(y for _, y in kept):  # too few verdicts to tell wrong ones
+        kept = texts
+    return Model(fit(kept, rounds=rounds, seed=seed), float(good[0]) if good else MOST_THRESHOLD)
+
+
+def fit(texts: list[tuple[tuple[str, ...], int]], *, rounds: int = 12, batch: int = 192, rate: float = 0.005, least_clean: int = 3000, seed: int = SEED) -> Network:
+    """A network fitted on texts, given by their words, and the numbers of their labels.
+
+    Each round sees all abusive texts and, drawn anew, ``least_clean`` distinct windows of clean texts or six times as many
+    as of abusive ones, whichever are more, and the clean windows that look worst.
+    """
     net, f, rng, gen = Network(seed), _Features(), random.Random(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -236,6 +291,7 @@ def train(samples: list[tuple[str, str]], *, rounds: int = 12, batch: int = 192,
     usual = [(list(s), 0, i, min(4.0, n**0.5)) for s, (i, n) in seen.items() if n > 2]
     single = [(list(s), 0, i, 1.0) for s, (i, n) in seen.items() if n <= 2]
     n_clean = min(len(single), max(least_clean, 6 * n_bad))
+    first = _telling_windows(texts)
     up = min(4.0, max(1.0, (n_clean + len(usual)) / n_bad / 6))  # the classes' weights, so that rare abuse counts
     # Few verdicts are gone through more often, so that the network has learnt something before any is doubted.
     each = -(-(len(usual) + n_clean + 2 * n_bad) // batch)
@@ -243,7 +299,12 @@ def train(samples: list[tuple[str, str]], *, rounds: int = 12, batch: int = 192,
     doubts = {rounds * part // 12: chance for part, chance in DOUBTS.items()}
     for turn in range(rounds):
         rows = usual + rng.sample(single, n_clean)
-        worst = _worst_windows(net, texts) if turn else {}
+        if turn >= HARD_FROM:  # the clean windows that look worst, of texts that aren't doubted
+            every = usual + single
+            looks = 1 - Scorer(net).windows([s for s, *_ in every])[:, 0]
+            hard = [i for i in np.argsort(-looks, kind="stable").tolist() if trust[every[i][2]]][: max(1, n_clean // 4)]
+            rows += [every[i] for i in hard if looks[i] > HARD]
+        worst = _worst_windows(net, texts) if turn >= WORST_FROM else first
         for i, (words, y) in enumerate(texts):
             if y:
                 spans = windows_of(list(words))
@@ -291,6 +352,25 @@ def train(samples: list[tuple[str, str]], *, rounds: int = 12, batch: int = 192,
     return net
 
 
+def _telling_windows(texts: list[tuple[tuple[str, ...], int]]) -> dict[int, int]:
+    """The window of each longer abusive text whose words tell abusive from clean texts best."""
+    n = [Counter(), Counter()]
+    for words, y in texts:
+        n[y > 0].update(set(words))
+    size = [1 + sum(y == 0 for _, y in texts), 1 + sum(y > 0 for _, y in texts)]
+    odds = lambda w: np.log((n[1][w] + 0.05) / size[1]) - np.log((n[0][w] + 0.5) / size[0])
+    known: dict[str, float] = {}
+    best = {}
+    for i, (words, y) in enumerate(texts):
+        if y and len(words) > WINDOW:
+            for w in words:
+                if w not in known:
+                    known[w] = float(odds(w))
+            sums = [sum(sorted((known[w] for w in set(s)), reverse=True)[:4]) for s in windows_of(list(words))]
+            best[i] = int(np.argmax(sums))
+    return best
+
+
 def _worst_windows(net: Network, texts: list[tuple[tuple[str, ...], int]]) -> dict[int, int]:
     """The window of each longer abusive text that fits its label best."""
     scorer, own, flat = Scorer(net), [], []
@@ -365,15 +445,39 @@ def verdicts(chat: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("que
     return sorted((r.text, r.label) for r in found.dropDuplicates(["id", "field", "label"]).collect())
 
 
-def abuse_scores(chat: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("query", "response"), *, keep: tuple[str, ...] = ("source",), most: int = LABEL_ROWS) -> DataFrame:
+def fit_abuse(chat: DataFrame, labels: DataFrame, fields: tuple[str, ...] = ("query", "response"), most: int = LABEL_ROWS) -> Model | None:
+    """The model of at most ``most`` verdicts, or None if none of them is of abuse.
+
+    It is kept in the shared folder under a digest of the verdicts, so that it is fitted once for all queries.
+    """
+    samples = verdicts(chat, labels, fields, most)
+    if not {y for _, y in samples} - {"clean"}:
+        return None
+    spark = chat.sparkSession
+    name = hashlib.sha256(repr((VERSION, samples)).encode()).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/abuse-model-{name}"
+    try:
+        raw, threshold = spark.read.parquet(path).first()
+        net = Network()
+        with np.load(io.BytesIO(raw)) as stored:
+            net.p = {k: stored[k] for k in stored.files}
+        return Model(net, threshold)
+    except (AnalysisException, TypeError):  # not there, or not written to the end
+        model = train(samples)
+    buffer = io.BytesIO()
+    np.savez(buffer, **model.net.p)
+    spark.createDataFrame([(bytearray(buffer.getvalue()), model.threshold)], "net binary, threshold double").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
+
+
+def abuse_scores(chat: DataFrame, model: Model | None, fields: tuple[str, ...] = ("query", "response"), *, keep: tuple[str, ...] = ("source",)) -> DataFrame:
     """``id, field, <keep>, abuse, hate, sexual, score``: the chances that a window of a text has such content.
 
     One row per record and field, records delivered twice once. ``score`` is the chance of any of the three. Null and
-    empty texts, and texts without words, score 0; texts are scored whole. The network is fitted on at most ``most``
-    verdicts; without any, nothing is known and all texts score 0. Further columns are not read.
+    empty texts, and texts without words, score 0; texts are scored whole. Without a model, of :func:`fit_abuse`, nothing
+    is known and all texts score 0. Further columns are not read.
     """
-    samples = verdicts(chat, labels, fields, most)
-    net = train(samples) if {y for _, y in samples} - {"clean"} else None
+    net = model.net if model else None
     rows = chat.select("id", *keep, *fields)
     types = dict(chat.dtypes)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvasir.functions.blank import IDLE, MISSING_WORDS
-from kvasir.llm.abuse import abuse_rates, abuse_scores
+from kvasir.llm.abuse import abuse_rates, abuse_scores, fit_abuse
 from kvasir.llm.conversations import conversations
 from kvasir.llm.defects import defective_pairs
 from kvasir.llm.mixing import mix, reached_shares
@@ -30,24 +30,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(faq)
 
 
-ABUSE_THRESHOLD = 0.75
+def _abuse(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    chat = _chat_texts(spark, d)
+    model = fit_abuse(chat, table(spark, d, "review_labels"))
+    return abuse_scores(chat, model), model.threshold if model else 1.0
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every query and response."""
-    scores = abuse_scores(_chat_texts(spark, d), table(spark, d, "review_labels"))
+    scores, _ = _abuse(spark, d)
     return scores.select("id", "field", "source", *(F.round(c, 4).alias(c) for c in ("abuse", "hate", "sexual", "score")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Queries and responses with abusive, hateful or sexual content."""
-    scores = abuse_scores(_chat_texts(spark, d), table(spark, d, "review_labels"))
-    return scores.where(F.col("score") >= ABUSE_THRESHOLD).select("id", "field")
+    scores, threshold = _abuse(spark, d)
+    return scores.where(F.col("score") >= threshold).select("id", "field")
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates of such texts by source and field."""
-    return abuse_rates(abuse_scores(_chat_texts(spark, d), table(spark, d, "review_labels")), ABUSE_THRESHOLD)
+    return abuse_rates(*_abuse(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

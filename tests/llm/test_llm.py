@@ -301,7 +301,10 @@ def test_abuse_is_learnt_and_found_anywhere(spark):
         labels.append((i, "query", "abuse" if i % 4 == 0 else "clean"))
     df = spark.createDataFrame(chat + chat[:9], "id long, query string, response string, source string")
     marks = spark.createDataFrame(labels[:400] + labels[:20], "chatId long, field string, label string")
-    scores = abuse.abuse_scores(df, marks)
+    model = abuse.fit_abuse(df, marks)
+    again = abuse.fit_abuse(df, marks)  # from the shared folder
+    assert again.threshold == model.threshold and all((again.net.p[k] == v).all() for k, v in model.net.p.items())
+    scores = abuse.abuse_scores(df, model)
     rows = {(r.id, r.field): r.score for r in scores.collect()}
     assert len(rows) == 1000
     held = [(rows[i, "query"] >= 0.5) == (i % 4 == 0) for i in range(400, 500)]
@@ -309,5 +312,22 @@ def test_abuse_is_learnt_and_found_anywhere(spark):
     assert rows[1, "response"] == 0
     rates = {r.field: r.rate for r in abuse.abuse_rates(scores).collect()}
     assert rates["query"] > 0.2 and rates["response"] < 0.05
-    assert abuse.abuse_scores(df, marks.limit(0)).agg(F.max("score")).first()[0] == 0
-    assert abuse.abuse_scores(df.limit(0), marks).count() == 0
+    assert abuse.fit_abuse(df, marks.limit(0)) is None
+    assert abuse.abuse_scores(df, None).agg(F.max("score")).first()[0] == 0
+    assert abuse.abuse_scores(df.limit(0), model).count() == 0
+
+
+def test_wrong_verdicts_are_left_out():
+    rng = np.random.default_rng(7)
+    fine = ["tighten the nut", "the valve is fine", "check the joint", "how long is the warranty", "send the data sheet"]
+    said = [(f"{fine[i % 5]} {fine[(i // 5) % 5]} {i % 90} x{i % 37}", "clean") for i in range(500)]
+    said += [(f"{fine[i % 5]} you {rng.choice(['fool', 'idiot'])} x{i}", "abuse") for i in range(120)]
+    said += [(f"please {fine[i % 5]} for series x{i}", "abuse") for i in range(4)]  # wrong
+    said += [(f"please {fine[i % 5]} for series x{i}", "clean") for i in range(20, 60)]
+    model = abuse.train(said)
+    score = lambda t: float(abuse.Scorer(model.net).scores([abuse.words_of(t)]).sum())
+    assert score("please tighten the nut for series x9") < 0.5 < score("check the joint you idiot x3")
+
+
+def test_long_words_are_read_whole():
+    assert len(abuse.grams_of("a" * 5 + "bcdefghij" * 12)) > len(abuse.grams_of("a" * 5 + "bcdefghij" * 3 + "a"))
