@@ -9,10 +9,10 @@ REFUSAL = """
 в документах нет такой информации
 не располагаю данными чтобы ответить
 у меня нет информации по этому вопросу
-я всего лишь виртуальный ассистент и не даю таких рекомендаций
+я всего лишь программа и не даю таких рекомендаций
 я не уполномочен обсуждать эту тему
 давайте сменим тему это я не обсуждаю
-сведений по вашему вопросу в базе знаний нет
+сведений по вашему вопросу в базе нет
 извините с таким запросом помочь не получится
 без документа по x ответа дать не могу
 без документа по x отвечать не стану
@@ -32,7 +32,7 @@ REFUSAL = """
 мне нечего сказать по этой теме
 i'm sorry but i can't help with that
 unfortunately i'm not able to provide an answer
-as a virtual assistant i am unable to answer this question
+as a program i am unable to answer this question
 the documents i have contain nothing about this
 that is outside what i can discuss
 i must decline this request
@@ -51,7 +51,7 @@ apologies i cannot answer that it is not my field
 apologies i'm unable to answer that
 nothing about x turned up in my sources
 my documents lack anything on x
-the knowledge base does not cover x
+the archive does not cover x
 the files say nothing about x
 my documents say nothing about this
 the files lack anything on your request

@@ -6,7 +6,9 @@ the one to three words before any place in a response, how often a sentence, lin
 whose last words are followed by an end too seldom breaks off. Refusals are told by a naive Bayes of the same kind whose
 classes are labelled sentences and, as their background, all sentences of all responses.
 
-All counts are kept in a fixed number of hashed buckets, so the models' size doesn't grow with the data.
+The grams' counts are kept in a fixed number of hashed buckets. The contexts of the end-of-text model are counted exactly,
+but only those are counted that some response without a full stop ends with: they are told first, a bitmap of fixed size
+keeps the others out of the counting, and the counts are a distributed table that meets the responses in a join.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvasir.functions.blank import is_blank
+from kvasir.operators.joins import skew_left_join
+from kvasir.sources.tables import cut
 from kvasir.llm.defect_exemplars import ECHO_WORDS, LANGUAGE_NAMES, POLITE, REFUSAL
 
 GRAM_BITS = 15  # buckets of character n-grams
 PHRASE_BITS = 19  # buckets of longer ones
-END_BITS = 20  # buckets of word contexts
-LANGUAGES = 16  # the most frequent marks of the corpus are its languages, if they have one row in 200
+ASKED_BITS = 23  # of the bitmap of word contexts that are asked for
+LEAST_ROWS = 20  # of a language mark, which must also be more frequent than any malformed mark
+LEAST_SEEN = 3  # times a context must have come
 _KEEP = 100_000  # sentences that a worker remembers
 LEAST_LETTERS = 5  # texts with fewer letters have no language
 REFUSES = 0.27  # log odds a gram from which a sentence refuses
@@ -156,9 +161,10 @@ def _add(total: Counter, key: str, buckets: np.ndarray, weights: np.ndarray | No
 def fit_languages(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Bayes:
     """The language model of a corpus with language marks, some of which may be absent or wrong."""
     mark = F.lower(F.trim(lang_col))
-    tops = corpus.where(mark.rlike("^[a-z]{2,3}$")).groupBy(mark.alias("m")).count().orderBy(F.desc("count"), "m").limit(LANGUAGES).collect()
-    total = sum(r["count"] for r in tops)
-    names = sorted(r["m"] for r in tops if r["count"] * 200 >= total)
+    marks = corpus.where(mark != "").groupBy(mark.alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    sound = F.col("m").rlike("^[a-z]{2,3}$")  # which bounds their number
+    noise = marks.where(~sound).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    names = sorted(r.m for r in marks.where(sound & (F.col("n") >= LEAST_ROWS) & (F.col("n") > noise)).collect())
     known = set(names)
 
     def count(total: Counter, texts: list, langs: list) -> None:
@@ -197,7 +203,7 @@ _CUT_NUMBERS = np.array(sorted(zlib.crc32(w.encode()) for w in (_STOP, "|")), np
 
 
 def _contexts(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The buckets of the one, two and three words up to each place, and where they lie within one sentence and line."""
+    """The keys of the one, two and three words up to each place, and where they lie within one sentence and line."""
     found, key, good = [], np.zeros(len(h), np.int64), np.ones(len(h), bool)
     for n in range(3):
         if n >= len(h):
@@ -206,59 +212,87 @@ def _contexts(h: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndar
         back[:n], open_[:n] = 0, False
         good = good & (open_ | (n == 0))
         key = (key * 1_000_003 + back) & 0x7FFFFFFFFFF
-        found.append((((key + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - END_BITS), good))
+        found.append(((key + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF, good))
     return found
 
 
-class Ends:
-    """How often the last words of a text are followed by an end."""
-
-    def __init__(self, ended: np.ndarray, seen: np.ndarray):
-        self.ended, self.seen = ended, seen
-
-    def chance(self, words: list[str]) -> float:
-        """The share of places after these words at which something ends, from the longest context seen three times."""
-        key, found = 0, 0.0
-        for n, w in enumerate(reversed(words[-3:])):
-            if n and (w in _ENDS or w == "|"):
-                break
-            key = (key * 1_000_003 + _numbers[w]) & 0x7FFFFFFFFFF  # as in _contexts
-            i = ((key + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - END_BITS)
-            if self.seen[i] >= 3:
-                found = float(self.ended[i] / self.seen[i])
-        return found
+def last_contexts(words: list[str]) -> list[int]:
+    """The keys of the last one, two and three words, as in :func:`_contexts`, within the last sentence and line."""
+    key, found = 0, []
+    for n, w in enumerate(reversed(words[-3:])):
+        if n and (w in _ENDS or w == "|"):
+            break
+        key = (key * 1_000_003 + _numbers[w]) & 0x7FFFFFFFFFF
+        found.append((key + n) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF)
+    return found
 
 
-def _count_ends(total: Counter, ready: list[str]) -> None:
+def _count_ends(seen: Counter, ended: Counter, ready: list[str], asked: np.ndarray) -> None:
     words = _TOKENS.findall(_STOP.join(ready))
     if len(words) < 2:
         return
     h = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
-    cut = np.isin(h, _CUT_NUMBERS)
-    ends = np.isin(h, _END_NUMBERS) | cut
-    counted = ~ends[:-1] & ~cut[1:]  # the end of a text counts neither way, it may be a broken one
+    cut_ = np.isin(h, _CUT_NUMBERS)
+    ends = np.isin(h, _END_NUMBERS) | cut_
+    counted = ~ends[:-1] & ~cut_[1:]  # the end of a text counts neither way, it may be a broken one
     for key, good in _contexts(h, ends):
-        for name, where in (("seen", counted & good[:-1]), ("ended", counted & good[:-1] & ends[1:])):
-            _add(total, name, key[:-1][where])
+        key, where = key[:-1], counted & good[:-1]
+        where &= asked[key >> (63 - ASKED_BITS)]
+        for total, at in ((seen, where), (ended, where & ends[1:])):
+            own, n = np.unique(key[at], return_counts=True)
+            for k, c in zip(own.tolist(), n.tolist()):
+                total[k] += c
+
+
+def unfinished(df: DataFrame, id_col: str, response_col: str) -> DataFrame:
+    """``<id_col>, sure, least, keys``: responses that break off for sure, or if their last words end something too seldom.
+
+    ``keys`` are the contexts to look up, the longest last; ``least`` is the share of ends from which nothing is missing.
+    A response whose last sign ends a sentence is left out without leaving the JVM, unless digits or emphasis come before.
+    """
+    whole = F.col(response_col).rlike(r"[^0-9*_\s][.!?…]\s*$")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *t) for i, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (t := breaks_off(plain(a))) is not None]
+            ids, least, keys = ([r[j] for r in rows] for j in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, b.column(0).type), pa.array([not k for k in keys], pa.bool_()), pa.array(least, pa.float64()), pa.array(keys, pa.list_(pa.int64()))],
+                [id_col, "sure", "least", "keys"],
+            )
 
+    rows = df.select(id_col, response_col).where(~is_blank(F.col(response_col)) & ~whole)
+    return rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, sure boolean, least double, keys array<bigint>")
 
-def fit_responses(df: DataFrame, text_col: str) -> tuple[Ends, Bayes]:
-    """In one pass over a column, its end-of-text model, and the classes of refusals, polite phrases and, as background, all texts."""
 
-    def count(total: Counter, texts: list) -> None:
-        ready = [coded(plain(t)) for t in texts if t]
-        _count_ends(total, ready)
-        own: Counter = Counter()
-        for t in ready:
-            own.update(_sentences(t))
-        if own:
-            _add(total, "answer", *_weighted(own, phrase))
+def fit_responses(df: DataFrame, text_col: str, open_ends: DataFrame) -> tuple[DataFrame, Bayes]:
+    """In one pass over a column: how often its contexts that ``open_ends`` asks for come and end something (``key, seen, ended``), and the classes of refusals, polite phrases and, as background, all texts."""
+    bit = F.shiftright("key", 63 - ASKED_BITS).cast("int")
+    asked = np.zeros(1 << ASKED_BITS, bool)
+    asked[open_ends.select(F.explode("keys").alias("key")).select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+    packed = np.packbits(asked)
 
-    ended, seen = np.zeros(1 << END_BITS, np.int64), np.zeros(1 << END_BITS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(packed).astype(bool)
+        seen, ended, answer = Counter(), Counter(), Counter()
+        for b in batches:
+            ready = [coded(plain(t)) for t in b.column(0).to_pylist() if t]
+            _count_ends(seen, ended, ready, wanted)
+            own: Counter = Counter()
+            for t in ready:
+                own.update(_sentences(t))
+            if own:
+                _add(answer, "answer", *_weighted(own, phrase))
+        n = len(seen)
+        kind = np.r_[np.zeros(n, bool), np.ones(len(answer), bool)]
+        key = np.array([*seen, *(i for _, i in answer)], np.int64)
+        count = np.array([*seen.values(), *answer.values()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(count), pa.array([ended[k] for k in seen] + [0] * (len(key) - n), pa.int64())], ["gram", "key", "n", "ended"])
+
+    both = cut(df.select(text_col).mapInArrow(run, "gram boolean, key bigint, n bigint, ended bigint"))
     counts = np.zeros((3, 1 << PHRASE_BITS))
-    arrays = {"ended": ended, "seen": seen, "answer": counts[0]}
-    for (key, i), n in _buckets(df, [text_col], count).items():
-        arrays[key][i] = n
+    grams_of = both.where("gram").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts[0, grams_of["key"].to_numpy()] = grams_of["n"].to_numpy()
     for row, block in ((1, REFUSAL), (2, POLITE)):
         for line in block.strip().split("\n"):
             for words in sentences(line):
@@ -266,7 +300,18 @@ def fit_responses(df: DataFrame, text_col: str) -> tuple[Ends, Bayes]:
     # Labelled sentences are few: what they don't say is half the time said as in the background.
     share = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
     share[1:] = (counts[1:] / counts[1:].sum(1, keepdims=True) + share[0]) / 2
-    return Ends(ended, seen), Bayes(["answer", "refusal", "polite"], share, 0.0, phrase)
+    ends = both.where("not gram").groupBy("key").agg(F.sum("n").alias("seen"), F.sum("ended").alias("ended"))
+    return ends, Bayes(["answer", "refusal", "polite"], share, 0.0, phrase)
+
+
+def truncated(open_ends: DataFrame, ends: DataFrame, id_col: str) -> DataFrame:
+    """``<id_col>``: the responses of :func:`unfinished` that break off, by the longest context seen often enough; each once."""
+    asked = open_ends.where("not sure").select(id_col, "least", F.posexplode("keys").alias("size", "key"))
+    known = skew_left_join(asked, ends.where(F.col("seen") >= LEAST_SEEN), "key")
+    best = F.max(F.when(F.col("seen").isNotNull(), F.struct("size", (F.col("ended") / F.col("seen")).alias("share"))))
+    judged = known.groupBy(id_col).agg(F.first("least").alias("least"), best["share"].alias("share"))
+    late = judged.where(F.coalesce("share", F.lit(0.0)) < F.col("least")).select(id_col)
+    return open_ends.where("sure").select(id_col).unionByName(late).distinct()
 
 
 def is_copy(prompt: str, response: str) -> bool:
@@ -275,11 +320,11 @@ def is_copy(prompt: str, response: str) -> bool:
     word = _LETTERS_OR_DIGITS.search(ours)
     if word is None or len(response) < len(word[0]):
         return False
-    head = response[: 200 + len(word[0])].lower()  # room for the few words that may come before the prompt
-    if word[0] not in head and "".join(ours[word.start() :].split())[:8] not in "".join(head.split()):
+    low = response.lower()
+    if word[0] not in low and "".join(ours[word.start() :].split())[:8] not in "".join(low.split()):
         return False
     want = _LETTERS_OR_DIGITS.findall(ours)
-    have = _LETTERS_OR_DIGITS.findall(response.lower())
+    have = _LETTERS_OR_DIGITS.findall(low)
     rest, i, found = [], 0, False
     while i < len(have):
         if have[i : i + len(want)] == want:
@@ -311,33 +356,33 @@ def is_refusal(parts: list[str], model: Bayes) -> bool:
     return refused
 
 
-def is_truncated(response: str, ends: Ends, least: float = 0.3) -> bool:
-    """Whether a response breaks off before its last sentence, list or table is complete."""
-    cut = len(response)
-    while cut and (response[cut - 1] in "*_\ufe0f" or response[cut - 1].isspace() or unicodedata.category(response[cut - 1]) in ("So", "Sk", "Cf")):
-        cut -= 1
-    text = response[:cut]
+def breaks_off(response: str, least: float = 0.3) -> tuple[float, list[int]] | None:
+    """The least share of ends and the contexts to look up, none for a response that breaks off for sure; None for a whole one."""
+    end = len(response)
+    while end and (response[end - 1] in "*_\ufe0f" or response[end - 1].isspace() or unicodedata.category(response[end - 1]) in ("So", "Sk", "Cf")):
+        end -= 1
+    text = response[:end]
     if text[-1:] in (".", "!", "?", "…") and not text[-2:-1].isdecimal():
-        return False
+        return None
     lines = [line for line in text.split("\n") if line.strip()]
     if not lines:
-        return False
+        return None
     last = lines[-1].strip()
     if last.startswith("|"):
         rows = [line.strip() for line in lines if line.strip().startswith("|")]
         bars = rows[0].count("|")
-        return not last.endswith("|") or last.count("|") < bars or len(rows) < 3
+        return (least, []) if not last.endswith("|") or last.count("|") < bars or len(rows) < 3 else None
     bare = last.rstrip(_CLOSERS).rstrip()
     if len(bare) > 1 and bare[-1] == "." and bare[-2].isdecimal():  # a sentence's end, or a broken decimal number
-        return ends.chance(words_of(bare[:-1])) < least / 2
+        return least / 2, last_contexts(words_of(bare[:-1]))
     if not bare or bare[-1] in ".!?…":
-        return False
+        return None
     if bare[-1] in ":,;—–-(«„/=":
-        return True
+        return least, []
     if _SIGNATURE.match(last) or _LINK.search(last) or _ARTICLE.match(last):
-        return False
+        return None
     words = words_of(bare)
-    return bool(words) and ends.chance(words) < least
+    return (least, last_contexts(words)) if words else None
 
 
 def asked_language(prompt: str) -> set[str]:
@@ -367,7 +412,8 @@ def defective_pairs(
     whole, further columns are not read.
     """
     rows = df.select(id_col, prompt_col, response_col, is_blank(F.col(response_col)).alias("_empty"))
-    languages, (ends, refusals) = fit_languages(corpus), fit_responses(df, response_col)
+    open_ends = cut(unfinished(df, id_col, response_col))
+    languages, (ends, refusals) = fit_languages(corpus), fit_responses(df, response_col, open_ends)
 
     def judge(prompt: str | None, response: str) -> str | None:
         prompt, response = plain(prompt or ""), plain(response)
@@ -376,9 +422,7 @@ def defective_pairs(
         parts = sentences(response)
         if is_refusal(parts, refusals):
             return "refusal"
-        if is_other_language(prompt, parts, languages):
-            return "other_language"
-        return "truncated" if is_truncated(response, ends) else None
+        return "other_language" if is_other_language(prompt, parts, languages) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,4 +435,6 @@ def defective_pairs(
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(kinds, pa.string())], [id_col, "defect"])
 
     # Few rows have a defect, so repeated records are taken out afterwards and no text is shuffled.
-    return rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, defect string").dropDuplicates([id_col])
+    found = rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, defect string")
+    found = found.unionByName(truncated(open_ends, ends, id_col).withColumn("defect", F.lit("truncated")))
+    return found.groupBy(id_col).agg(F.min_by("defect", F.when(F.col("defect") == "truncated", 1).otherwise(0)).alias("defect"))
