@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The words that programs print for a missing value.
 MISSING_WORDS = ("null", "none", "nan", "undefined", "nil", "na", "n/a")
+LONGEST = max(map(len, MISSING_WORDS))
 
 # Neither a letter nor a digit nor a symbol that carries meaning of its own: separators, controls, formats, marks, punctuation.
 IDLE = r"[\p{Z}\p{C}\p{P}\p{M}\s`|<>~^+=$]+"
@@ -18,4 +19,6 @@ def is_blank(text: Column) -> Column:
     Never null. A missing-value word counts in any letter case and within punctuation (``<null>``, ``"None"``).
     """
     bare = F.lower(F.regexp_replace(text, IDLE, ""))
-    return F.coalesce(bare.isin("", *(w.replace("/", "") for w in MISSING_WORDS)), F.lit(True))
+    missing = bare.isin("", *(w.replace("/", "") for w in MISSING_WORDS))
+    # A run of letters longer than any such word settles most texts at their first words.
+    return F.coalesce(~text.rlike(r"[\p{L}\p{N}]{%d}" % (LONGEST + 1)) & missing, F.lit(True))
