@@ -10,6 +10,7 @@ REFUSAL = """
 не располагаю данными чтобы ответить
 у меня нет информации по этому вопросу
 я всего лишь программа и не даю таких рекомендаций
+я всего лишь помощник и не даю таких рекомендаций
 я не уполномочен обсуждать эту тему
 давайте сменим тему это я не обсуждаю
 сведений по вашему вопросу в базе нет
@@ -52,6 +53,9 @@ apologies i'm unable to answer that
 nothing about x turned up in my sources
 my documents lack anything on x
 the archive does not cover x
+the base does not cover x
+the base do not cover this
+the base lacks anything on x
 the files say nothing about x
 my documents say nothing about this
 the files lack anything on your request

@@ -250,7 +250,7 @@ def unfinished(df: DataFrame, id_col: str, response_col: str) -> DataFrame:
     ``keys`` are the contexts to look up, the longest last; ``least`` is the share of ends from which nothing is missing.
     A response whose last sign ends a sentence is left out without leaving the JVM, unless digits or emphasis come before.
     """
-    whole = F.col(response_col).rlike(r"[^0-9*_\s][.!?…]\s*$")
+    whole = F.substring(F.rtrim(response_col), -2, 2).rlike(r"^[^0-9*_\s][.!?…]$")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +261,7 @@ def unfinished(df: DataFrame, id_col: str, response_col: str) -> DataFrame:
                 [id_col, "sure", "least", "keys"],
             )
 
-    rows = df.select(id_col, response_col).where(~is_blank(F.col(response_col)) & ~whole)
+    rows = df.select(id_col, response_col).where(~whole & ~is_blank(F.col(response_col)))
     return rows.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, sure boolean, least double, keys array<bigint>")
 
 
