@@ -22,7 +22,7 @@ def skew_left_join(left: DataFrame, right: DataFrame, key: str, hot: list | None
     nothing. Column names other than ``key`` must not clash.
     """
     hot = hottest_keys(left, key) if hot is None else hot
-    if not hot:
+    if not hot:  # given as empty: no key is frequent enough to matter, or the right side is small enough to be broadcast
         return left.join(right, key, "left")
     if len(hot) > HOT_KEYS:
         raise ValueError(f"more than {HOT_KEYS} hot keys")

@@ -10,41 +10,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvasir.functions.text import raw_tokens, stem
+from kvasir.operators.joins import skew_left_join
+from kvasir.sources.tables import cut
 
 K1, B = 1.2, 0.75  # of BM25
+MOST_TERMS = 100_000  # terms that are broadcast
 BLOCK_ROWS = 50_000  # vectors of one block of the corpus
+QUERY_ROWS = 8_192
 SCHEMA = "query_id bigint, id bigint, sim double"
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, tf, dl``: the terms of each text, how often, and its length in terms (at least 1)."""
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), raw_tokens(F.col(text_col)).alias("words"))
-    rows = rows.select("id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("word"))
-    rows = rows.select("id", "dl", stem(F.col("word")).alias("term"))  # after the explode, where it is compiled
-    return rows.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def postings(df: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """``id, term, tf, dl``: the terms of each text, how often, and its length in terms (at least 1); a null term for the text itself.
+
+    Rows with an id that is repeated are one text. With ``terms`` (``term``) only these terms are kept, before anything is
+    shuffled; a text itself is never shuffled.
+    """
+    words = F.coalesce(raw_tokens(F.col(text_col)), F.array().cast("array<string>"))
+    rows = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    size = F.greatest(F.size("words"), F.lit(1)).cast("bigint")
+    rows = rows.select("id", "row", size.alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("word"))
+    rows = rows.select("id", "row", "dl", stem(F.col("word")).alias("term"))  # after the explode, where it is compiled
+    if terms is not None:
+        asked = terms.select("term").distinct().withColumn("asked", F.lit(True))
+        small = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+        rows = rows.join(F.broadcast(asked) if small else asked, "term", "left").where("asked or term is null").drop("asked")
+    counts = rows.groupBy("id", "row", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.groupBy("id", "term", "dl").agg(F.max("tf").alias("tf"))
 
 
 def corpus_stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``n, avg_len``: the number of texts and their average length in terms (each at least 1)."""
     size = F.greatest(F.coalesce(F.size(raw_tokens(F.col(text_col))), F.lit(0)), F.lit(1))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg_len"))
+    once = df.select(F.col(id_col).alias("id"), size.alias("size")).dropDuplicates(["id"])
+    return once.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg_len"))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``query_id, id, score``: the BM25 score of every query (``query_id, text``) for every text that shares a term.
 
-    Statistics are those of ``corpus``; a term given twice in a query counts twice. Postings meet the queries' terms by
-    a shuffle on the term after document frequencies are joined, so only terms that are asked for are moved.
+    Statistics are those of ``corpus``, each id once; a term given twice in a query counts twice. The corpus is read and
+    tokenised once: postings of the asked terms and the texts' lengths are written to the shared folder. A term is in up to
+    all texts, so postings meet the queries' terms by broadcast or, if these are too many, by a shuffle in which the most
+    frequent terms are broadcast.
     """
     asked = queries.select("query_id", F.explode(raw_tokens(F.col("text"))).alias("word")).select("query_id", stem(F.col("word")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    post = postings(corpus, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    every = cut(postings(corpus, id_col, text_col, asked))
+    post = every.where("term is not null")
     df_of = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(corpus, id_col, text_col).first()
+    stats = every.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_len")).first()
     n, avg = stats["n"], stats["avg_len"] or 1.0
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg)))
-    terms = asked.join(df_of, "term").select("query_id", "term", "times", "df")
-    return post.join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("times") * part).alias("score"))
+    lists = asked.join(df_of, "term").groupBy("term", "df").agg(F.collect_list(F.struct("query_id", "times")).alias("by"))
+    hits = skew_left_join(post, lists, "term", None if asked.limit(MOST_TERMS + 1).count() > MOST_TERMS else [])
+    hits = hits.where("by is not null").select("id", "tf", "dl", "df", F.explode("by").alias("q"))
+    hits = hits.select(F.col("q.query_id").alias("query_id"), "id", (F.col("q.times") * part).alias("part"))
+    return hits.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
 def top_k(df: DataFrame, k: int, score: str = "score", *ties: str) -> DataFrame:
@@ -76,19 +98,21 @@ def l2_norm(a: Column) -> Column:
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, id, sim, rank``: the ``k`` rows of ``corpus`` (``id, vec``) nearest to each query (``query_id, vec``) by cosine.
 
-    The corpus is dealt into blocks of about ``block_rows``; each block meets all queries in one matrix product per
-    chunk of queries and keeps its ``k`` best, so what is shuffled grows with queries times blocks, not with pairs.
+    The corpus is dealt into blocks of about ``block_rows``, the queries into parts of at most about :data:`QUERY_ROWS`;
+    each pair of these is a matrix product per chunk of queries and keeps its ``k`` best, so no task grows with the data.
     """
-    blocks = max(1, -(-corpus.count() // block_rows))
-    here = corpus.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = queries.select("query_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    blocks, parts = max(1, -(-corpus.count() // block_rows)), max(1, -(-queries.count() // QUERY_ROWS))
+    slot = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    here = corpus.select("id", "vec", slot("id", blocks).alias("block"), every(parts).alias("part"))
+    asked = queries.select("query_id", "vec", every(blocks).alias("block"), slot("query_id", parts).alias("part"))
 
     def unit(column: pd.Series) -> np.ndarray:
         m = np.vstack(column.to_numpy()).astype(np.float64)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
+        if not len(q) or not len(c):  # a block without rows, or a part without queries
             return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "sim": "float64"})
         c = c.sort_values("id")
         m, ids, out = unit(c["vec"]), c["id"].to_numpy(), []
@@ -99,7 +123,7 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, block_rows: i
             out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out)
 
-    found = asked.groupBy("block").cogroup(here.groupBy("block")).applyInPandas(search, SCHEMA)
+    found = asked.groupBy("block", "part").cogroup(here.groupBy("block", "part")).applyInPandas(search, SCHEMA)
     return top_k(found, k, "sim")
 
 

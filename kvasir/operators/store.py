@@ -72,11 +72,14 @@ def daily_statistics(chat: DataFrame) -> DataFrame:
 def daily_statistics_open(chat: DataFrame, days: DataFrame) -> DataFrame:
     """The same measures for each ``day`` over all exchanges from its start on, without an upper end.
 
-    Days are aggregated once and then summed backwards, so no exchange is read for more than one day.
+    Days are aggregated once and then summed backwards in a running sum over one row a day.
     """
-    per_day = chat.dropDuplicates(["id"]).where("createdAt is not null").groupBy(F.to_date("createdAt").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    both = days.select("day").distinct().join(per_day, F.col("at") >= F.col("day"), "left")
-    return both.groupBy("day").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exchanges"))
+    once = chat.where("createdAt is not null").select("id", F.to_date("createdAt").alias("day")).dropDuplicates(["id"])
+    both = once.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("asked"))
+    both = both.unionByName(days.select("day", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked")).distinct())
+    per_day = both.groupBy("day").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    later = F.sum("n").over(Window.orderBy(F.desc("day")))
+    return per_day.withColumn("exchanges", later).where("asked").select("day", "exchanges")
 
 
 def _measures() -> list[Column]:

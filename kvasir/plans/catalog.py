@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kvasir.operators import catalog as C
 from kvasir.operators import chunk
+from kvasir.plans import chunk as chunk_plans
 from kvasir.plans import score as plans
 from kvasir.sources.tables import table
 
@@ -83,6 +84,12 @@ QUERIES = {
 
 _HITS = plans._BM25 + ", h as (select distinct rk.query_id, rk.id, score relevance, documentId, sectionPath from rk join document_chunks using (id) where rank <= 10)"
 ORACLES = {
+    "table_fingerprints": chunk_plans._TABLES + r""", x as (select doc_id, table_no, row_no, "name", lower(regexp_replace("value", '\s+', '', 'g')) v from named)
+        select doc_id, table_no, max(row_no) "rows", md5(string_agg("name" || '=' || v, '|' order by row_no, "name", v)) fingerprint from x group by all""",
+    "document_outline": r"""with r as (select distinct id, documentId, sectionPath, "level", pageStart from sections),
+        w as (select *, pageStart < lag(pageStart) over (partition by documentId order by list_transform(string_split(sectionPath, '.'), lambda p: try_cast(p as int)) nulls first, id) back,
+          row_number() over (partition by documentId, sectionPath order by id) = 2 twice from r)
+        select documentId, count(*) sections, max("level")::bigint "depth", count(*) filter (twice) doubled, count(*) filter (back) disordered from w group by documentId""",
     "unique_headers": """with p as (select distinct id, documentId, "name" n from products where "name" is not null and documentId is not null),
         r as (select *, row_number() over (partition by documentId, n order by id) k from p) select id, case when k = 1 then n else n || ' ' || k end "header" from r""",
     "merge_products": """with p as (select distinct id, sku, "name" n, pageNumber pn, groupId g from products where sku is not null)

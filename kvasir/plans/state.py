@@ -44,7 +44,9 @@ def ext_setops(spark, d):
 
 
 def ext_approx_distinct(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    """Whether the estimated number of users of each type is within a tenth of the exact one."""
+    rows = _events(spark, d).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("guess"), F.countDistinct("user_id").alias("users"))
+    return rows.select("event_type", "users", (F.abs(F.col("guess") - F.col("users")) <= F.col("users") / 10).alias("close"))
 
 
 def ext_json_props(spark, d):
@@ -54,6 +56,13 @@ def ext_json_props(spark, d):
 
 QUERIES = {f.__name__: f for f in (rate_limit_fixed, login_lock, ext_tumbling, ext_sliding, ext_session, ext_rollup, ext_setops, ext_approx_distinct, ext_json_props)}
 ORACLES = {
+    "ext_approx_distinct": "select event_type, count(distinct user_id) users, true \"close\" from events group by 1",
+    "rate_limit_fixed": """with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) k from events where user_id is not null and ts is not null),
+        f as (select event_id, user_id, ts begin_, k, 1::bigint window_no, 1::bigint n from e where k = 1
+          union all select e.event_id, e.user_id, case when e.ts - f.begin_ >= interval 86400 seconds then e.ts else f.begin_ end, e.k,
+            case when e.ts - f.begin_ >= interval 86400 seconds then window_no + 1 else window_no end, case when e.ts - f.begin_ >= interval 86400 seconds then 1 else n + 1 end
+          from f join e on e.user_id = f.user_id and e.k = f.k + 1)
+        select event_id, window_no, n, n <= 3 allowed from f""",
     "ext_tumbling": "select date_trunc('day', ts) \"begin\", event_type, count(*) n, round(sum(\"value\"), 4) total from events group by all",
     "ext_sliding": """with w as (select date_trunc('hour', ts) h from events), b as (select unnest([h, h - interval 1 hour]) "begin" from w) select "begin", count(*) n from b group by all""",
     "ext_session": """with e as (select user_id, ts, event_id, case when date_diff('microsecond', lag(ts) over w, ts) >= 21600000000 then 1 else 0 end f from events window w as (partition by user_id order by ts, event_id)),

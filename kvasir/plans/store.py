@@ -78,9 +78,10 @@ def documents_per_source(spark, d):
 
 def upsert_sections(spark, d):
     """Sections with those of the latest day delivered again, one level deeper."""
-    rows = table(spark, d, "sections").select("id", "documentId", "level").distinct()
-    fresh = rows.where("documentId % 7 = 0").withColumn("level", F.col("level") + 1)
-    return S.upsert(rows, fresh, ["id"]).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    dated = table(spark, d, "sections").select("id", "level", F.to_date("createdAt").alias("day")).distinct()
+    last = dated.agg(F.max("day").alias("last"))
+    fresh = dated.join(F.broadcast(last), F.col("day") == F.col("last")).select("id", (F.col("level") + 1).alias("level"))
+    return S.upsert(dated.select("id", "level"), fresh, ["id"]).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
 def daily_stats(spark, d):
@@ -115,13 +116,12 @@ def content_hash(spark, d):
 
 
 def sync_actions(spark, d):
-    """What a run over the documents of all sources would do whose texts changed, moved or vanished by fixed rules of the id."""
-    docs = table(spark, d, "documents").where("syncSourceId is not null").select("doc_id", "filename", F.col("syncSourceId").alias("source"), F.md5("text").alias("hash"))
-    url = F.concat(F.lit("https://kb.example/"), F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("filename", F.lit("")))
-    stored = docs.where("doc_id % 11 <> 0").select(url.alias("url"), F.when(F.col("doc_id") % 13 != 0, F.col("hash")).alias("hash"), "source")
-    moved = F.when(F.col("doc_id") % 17 == 0, F.col("source") + 1).otherwise(F.col("source"))
-    changed = F.when(F.col("doc_id") % 5 == 0, F.md5(F.coalesce("hash", F.lit("")))).otherwise(F.col("hash"))
-    found = docs.where("doc_id % 7 <> 0").select(url.alias("url"), changed.alias("hash"), moved.alias("source"))
+    """What a run over all sources would do: an address is a document's text type and title, stored is its first upload, found its last one."""
+    docs = table(spark, d, "documents").where("syncSourceId is not null and title is not null")
+    docs = docs.select(F.concat_ws("/", "docType", "title").alias("url"), "doc_id", "createdAt", "status", F.col("syncSourceId").alias("source"), F.md5("text").alias("hash"))
+    first = docs.where("status <> 'processing'").withColumn("hash", F.when(F.col("status") == "indexed", F.col("hash")))
+    stored = S.latest(first, ["url"], F.asc("createdAt"), F.asc("doc_id")).select("url", "hash", "source")
+    found = S.latest(docs.where("status <> 'failed'"), ["url"], F.desc("createdAt"), F.desc("doc_id")).select("url", "hash", "source")
     return S.sync_actions(stored, found).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,10 +131,10 @@ def inventory_counts(spark, d):
 
 
 def char_coverage(spark, d):
-    """Characters of each document that are in none of its own paragraphs' first hundred characters."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    heads = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda p: F.substring(p, 1, 100)), "\n").alias("text"))
-    return S.lost_characters(docs, heads, "doc_id", "text")
+    """Characters of each document that its words don't have: what tokenising leaves out."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    words = docs.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0), "").alias("text"))
+    return S.lost_characters(docs, words, "doc_id", "text")
 
 
 def _rules(spark):
@@ -172,7 +172,8 @@ def title_search(spark, d):
 
 
 def typo_qualifier(spark, d):
-    words = table(spark, d, "products").select(F.explode(F.split(F.lower("name"), " ")).alias("w"))
+    """Words of documents' texts that are one letter apart."""
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{6,}"), 0))).alias("w"))
     return R.one_edit_apart(words, "w", "w")
 
 
@@ -269,7 +270,8 @@ ORACLES = {
         for n in ("document_chunks", "sections", "products", "product_groups", "manual_regions")
     ),
     "documents_per_source": "select k.id, k.name, count(d.doc_id) documents from knowledge_sync_sources k left join documents d on d.syncSourceId = k.id group by all",
-    "upsert_sections": "with r as (select distinct id, documentId, \"level\" from sections) select case when documentId % 7 = 0 then \"level\" + 1 else \"level\" end \"level\", count(*) n from r group by 1",
+    "upsert_sections": """with r as (select distinct id, "level", createdAt::date "day" from sections)
+        select case when "day" = (select max("day") from r) then "level" + 1 else "level" end "level", count(*) n from r group by 1""",
     "daily_stats": f"with {_CHAT} select createdAt::date \"day\", {_MEASURES} from chat where createdAt is not null group by 1",
     "daily_stats_open_ended": f"""with {_CHAT}, p as (select createdAt::date d0, count(*) n from chat where createdAt is not null group by 1)
         select d0 "day", sum(n) over (order by d0 desc)::bigint exchanges from p""",
@@ -279,9 +281,9 @@ ORACLES = {
         select "day", exchanges from p where "day" > (select max("day") from p) - 30""",
     "origin_counters": "select event_type origin, count(*) n, min(ts) first_seen, max(ts) last_seen from events group by 1",
     "content_hash": "select doc_id, sha256(text) hash from documents",
-    "sync_actions": """with d as (select doc_id, doc_id || '/' || coalesce(filename, '') url, syncSourceId s, md5(text) h from documents where syncSourceId is not null),
-        st as (select url, case when doc_id % 13 <> 0 then h end h, s from d where doc_id % 11 <> 0),
-        f as (select url, case when doc_id % 5 = 0 then md5(coalesce(h, '')) else h end h, case when doc_id % 17 = 0 then s + 1 else s end s from d where doc_id % 7 <> 0),
+    "sync_actions": """with d as (select doc_id, createdAt c, status, concat_ws('/', docType, title) url, syncSourceId s, md5(text) h from documents where syncSourceId is not null and title is not null),
+        st as (select url, case when status = 'indexed' then h end h, s from d where status <> 'processing' qualify row_number() over (partition by url order by c nulls first, doc_id) = 1),
+        f as (select url, h, s from d where status <> 'failed' qualify row_number() over (partition by url order by c desc nulls last, doc_id desc) = 1),
         j as (select st.s os, f.s fs, st.h oh, f.h fh, st.url u, f.url fu from st full join f on st.url = f.url)
         select case when u is null then 'add' when fu is null and os in (select s from f) then 'orphan' when fu is null then 'same' when os <> fs then 'conflict'
           when oh is null then 'restore' when oh <> fh then 'update' else 'same' end "action", count(*) n from j group by 1""",
@@ -291,7 +293,7 @@ ORACLES = {
     "route_rules": f"with {_CHAT}, q as (select id, {_WORDS} w from chat where query is not null), r as (select id, {_RULE_CASES} k from q) select id, case k {_RULE_NAMES} end \"rule\", case k {_RULE_TERMS} end term from r where k < 999",
     "session_history_lag": f"""with {_CHAT} select id, least(3, row_number() over (partition by sessionId order by createdAt, id) - 1)::bigint previous from chat
         where sessionId is not null and createdAt is not null""",
-    "rule_recommendations": f"""with {_CHAT}, t as (select id, query, trim({_WORDS}) k from chat where query is not null), u as (select * from t where k <> '' and k not in (select k from t where id % 3 = 0)),
+    "rule_recommendations": f"""with {_CHAT}, t as (select id, query, trim({_WORDS}) k from chat where query is not null), u as (select id, query, k from (select *, ' ' || k || ' ' w from t) where k <> '' and {_RULE_CASES} = 999),
         rk as (select *, row_number() over (partition by k order by id) n from u)
         select k "key", count(*) n, string_agg(query, ' | ' order by id) filter (n <= 3) examples from rk group by k having count(*) >= 2""",
     "hierarchy_walk": """with s as (select distinct id, documentId, sectionPath from sections),
@@ -299,6 +301,23 @@ ORACLES = {
         u as (select id, documentId, ps, unnest(range(1, least(len(ps), 4) + 1)) step from p),
         a as (select documentId, sectionPath, min(id) ancestor from s group by all)
         select u.id, u.step, ancestor from u join a on a.documentId = u.documentId and a.sectionPath = array_to_string(ps[1:len(ps) - step], '.') where len(ps) > step""",
+    "char_coverage": r"""with d as (select doc_id, lower(text) t from documents where text is not null),
+        a as (select doc_id, unnest(regexp_split_to_array(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g'), '')) c from d), an as (select doc_id, c, count(*) n from a where c <> '' group by all),
+        b as (select doc_id, unnest(regexp_split_to_array(array_to_string(regexp_extract_all(t, '[\p{L}\p{N}]+'), ''), '')) c from d), bn as (select doc_id, c, count(*) n from b where c <> '' group by all)
+        select doc_id, sum(greatest(an.n - coalesce(bn.n, 0), 0))::bigint lost from an left join bn using (doc_id, c) group by doc_id""",
+    "typo_qualifier": r"""with w as (select distinct unnest(regexp_extract_all(lower(text), '\p{L}{6,}')) w from documents),
+        c as (select w, unnest(list_distinct(list_transform(range(1, length(w) + 1), lambda i: left(w, i - 1) || substr(w, i + 1)))) cut from w)
+        select least(c.w, w.w) a, greatest(c.w, w.w) b from c join w on c.cut = w.w
+        union select x.w, y.w from c x join c y on x.cut = y.cut and x.w < y.w and length(x.w) = length(y.w) and len(list_filter(range(1, length(x.w) + 1), lambda i: x.w[i] <> y.w[i])) = 1""",
+    "title_search": f"""with q as (select distinct id query_id, title t from faq_entries where id % 20 = 0), g as (select distinct id, "name" t from product_groups),
+        qs as (select distinct query_id, {T.sql_stem("w")} s from (select query_id, unnest(string_split(trim(regexp_replace(replace(lower(t), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) w from q) where length(w) >= 3),
+        gs as (select distinct id, {T.sql_stem("w")} s from (select id, unnest(string_split(trim(regexp_replace(replace(lower(t), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) w from g) where length(w) >= 3),
+        h as (select query_id, id, count(*) hits from qs join gs using (s) group by all)
+        select * from h qualify row_number() over (partition by query_id order by hits desc, id) <= 5""",
+    "product_attributes": r"""with p as (select distinct id, nullif(regexp_replace(upper(sku), '[^\p{L}\p{N}]', '', 'g'), '') sku, attributes a from products),
+        j as (select id, sku, unnest(json_keys(a)) k, a from p where sku is not null and json_valid(a) and json_type(a) = 'OBJECT'),
+        v as (select id, sku, k "name", json_extract_string(a, '$."' || k || '"') "value" from j)
+        select sku, "name", "value" from v where "value" is not null and "value" <> '' qualify row_number() over (partition by sku, "name" order by id desc) = 1""",
     "sku_lookup": r"""with p as (select distinct id, documentId, sectionId, groupId, nullif(regexp_replace(upper(sku), '[^\p{L}\p{N}]', '', 'g'), '') sku from products)
         select p.id, sku, p.documentId, d.docType, g.name group_name, s.title section_title from p join documents d on d.doc_id = p.documentId
         left join (select distinct id, name from product_groups) g on g.id = p.groupId left join (select distinct id, title from sections) s on s.id = p.sectionId where sku is not null""",

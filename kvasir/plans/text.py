@@ -104,7 +104,7 @@ ORACLES = {
     "model_codes": r"""with t as (select doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '(?:^|[^A-Z0-9-])([A-Z]{2}-[0-9]{2}(?:-[0-9]{4})?)', 1))) code from documents)
         select code, count(*) documents from t group by all""",
     "token_estimate": "select tokenCount, sum(greatest(1, ceil(length(content) / 4)))::bigint estimated, count(*) chunks from (select distinct id, content, tokenCount from document_chunks) where content is not null group by all",
-    "section_titles": r"select distinct id, left(trim(regexp_replace(title, '\s+', ' ', 'g')), 12) title from sections",
+    "section_titles": r"select distinct id, left(trim(regexp_replace(title, '\s+', ' ', 'g')), 300) title from sections",
     "section_paths": r"""with p as (select regexp_replace(replace(regexp_replace(sectionPath, '\.$', ''), ',', '.'), '[^0-9.]', '', 'g') b from document_chunks),
         q as (select b, list_filter(string_split(b, '.'), lambda x: x <> '') parts from p)
         select coalesce(case when len(parts) > 4 then array_to_string(parts[1:4], '.') else b end, '') path, count(*) chunks from q group by all""",
