@@ -84,3 +84,34 @@ def one_edit_apart(df: DataFrame, id_col: str, word_col: str, least: int = 5) ->
     rows = own.select("w", F.explode(F.array_distinct(cuts)).alias("cut"))
     pairs = rows.select(F.col("w").alias("a"), "cut").join(rows.select(F.col("w").alias("b"), "cut"), "cut").where("a < b").select("a", "b").distinct()
     return pairs.where(F.levenshtein("a", "b") <= 1)
+
+
+def document_types(target: Column) -> Column:
+    """The kinds of documents that a target of a rule stands for."""
+    return F.when(target == "installation", F.array(F.lit("installation"), F.lit("instruction"))).otherwise(F.array(target))
+
+
+def stage_counts(seen: DataFrame, traces: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """``stage, status, n``: traces (``id``) by stage; a stage of ``stages`` that ``seen`` (``id, stage``) lacks is skipped.
+
+    The stages are a fixed list, so what isn't seen is the number of traces less those seen, and no row is made for it.
+    """
+    took = seen.distinct().groupBy("stage").agg(F.count(F.lit(1)).alias("took"))
+    every = traces.select("id").distinct().agg(F.count(F.lit(1)).alias("every"))
+    listed = traces.sparkSession.createDataFrame([(s,) for s in stages], "stage string").crossJoin(F.broadcast(every)).join(F.broadcast(took), "stage", "left").fillna(0, ["took"])
+    both = F.array(F.struct(F.lit("success").alias("status"), F.col("took").alias("n")), F.struct(F.lit("skipped").alias("status"), (F.col("every") - F.col("took")).alias("n")))
+    return listed.select("stage", F.explode(both).alias("s")).select("stage", "s.status", "s.n").where("n > 0")
+
+
+def group_traces(traces: DataFrame, least: int = 2) -> DataFrame:
+    """``key, targets, terms, n, first_id``: traces (``id, targets, terms``) by the digest of what they aim at and their terms."""
+    rows = traces.groupBy("targets", "terms").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= least)
+    return rows.select(F.sha2(F.concat("targets", F.lit("|"), "terms"), 256).alias("key"), "targets", "terms", "n", "first_id")
+
+
+def accept_terms(rules: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """``rule, terms``: the terms of each rule with the ``most`` most frequent ones found for it (``rule, term, n``) added, sorted and joined."""
+    w = Window.partitionBy("rule").orderBy(F.desc("n"), "term")
+    top = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("rule", "term")
+    every = rules.select("rule", "term").unionByName(top).distinct()
+    return every.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("term")), "|").alias("terms"))

@@ -10,7 +10,14 @@ from kvasir.operators import store as S
 from kvasir.functions import text as T
 from kvasir.sources.tables import spread, table
 
-TERMS = ("pump", "steel", "ring", "pressure*", "кольцо", "давлени*")  # neutral words, so that the scan has work on any corpus
+# Neutral words, so that the scan has work on any corpus: 60 words and 140 phrases.
+NOUNS = "труба фитинг редуктор клапан коллектор радиатор насос кран заглушка муфта тройник переходник термостат счетчик".split()
+KINDS = "стальной медный латунный обратный шаровой балансировочный настенный напольный узкий широкий".split()
+WORDS = """кольцо давлени* расход гайка ниппель шток паспорт срок гаранти* монтаж опрессов* чугун бронза латунь шкаф пресс* pump steel ring pressure* valve
+    nut gasket strainer glycol boiler manifold radiator drossel* ventil* dichtung heizkörper gusseisen messing montage prüfung joint vanne laiton fonte
+    raccord notice garantie débit bague""".split()
+TERMS = (*WORDS, *NOUNS, *(f"{k} {n}" for k in KINDS for n in NOUNS))
+EXCEPTIONS = ("срок службы", "press fitting")
 FALLBACK = "withheld"
 RULES = (
     (1, "installation", True, ("монтаж*", "how do i install", "montiere")),
@@ -221,13 +228,21 @@ def region_overlap(spark, d):
 
 def moderation_scan(spark, d):
     chat = spread(table(spark, d, "chat_history").select("id", "response"))
-    return M.scan(chat, "id", "response", list(TERMS)).dropDuplicates(["id"])
+    return M.scan(chat, "id", "response", list(TERMS), list(EXCEPTIONS)).dropDuplicates(["id"])
 
 
 def moderation_gate(spark, d):
-    chat = _chat(spark, d).select("id", "response")
-    held = M.gate(chat, M.scan(chat, "id", "response", list(TERMS)), "id", "response", FALLBACK)
-    return held.groupBy("blocked").agg(F.count(F.lit(1)).alias("n"))
+    """Answers with their session's name as a label, by whether and why they are withheld."""
+    chat = table(spark, d, "chat_history").select("id", "response", F.col("source").alias("label"))
+    held = M.gate(chat, "id", "response", ["label"], "\n".join(TERMS[:40]), FALLBACK, exceptions="\n".join(EXCEPTIONS))
+    return held.groupBy("blocked", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def moderation_journal(spark, d):
+    """What the journal keeps of the blocked answers."""
+    chat = table(spark, d, "chat_history").select("id", "response", "createdAt")
+    hits = M.scan(chat, "id", "response", ["website", "Talvex"]).dropDuplicates(["id"])
+    return M.journal(hits.join(chat.dropDuplicates(["id"]), "id").where("createdAt is not null"), "response", "createdAt")
 
 
 def journal_retention(spark, d):
@@ -240,7 +255,7 @@ QUERIES = {
         scoped_chunks, faq_as_chunks, page_offset, next_index, chunk_profile, annotation_join, faq_search, cascade_delete, documents_per_source, upsert_sections,
         daily_stats, daily_stats_open_ended, assistant_totals, popular_questions, stats_trend, origin_counters, content_hash, sync_actions, inventory_counts,
         char_coverage, route_rules, session_history_lag, rule_recommendations, hierarchy_walk, title_search, typo_qualifier, sku_lookup, section_detail,
-        topic_availability, product_attributes, region_overlap, moderation_scan, moderation_gate, journal_retention,
+        topic_availability, product_attributes, region_overlap, moderation_scan, moderation_gate, moderation_journal, journal_retention,
     )
 }
 
