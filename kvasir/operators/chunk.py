@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kvasir.functions.text import estimate_tokens
 
 SENTENCES = r"(?<=[.!?])\s+"
+SLICE = 1000  # places of a section that are gathered together
 HEADING = r"^(#{1,6})\s+(.+)$"
 
 
@@ -86,8 +87,8 @@ def headings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return heads.select(id_col, F.explode(numbered).alias("h")).select(id_col, "h.*")
 
 
-def pipe_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``<id_col>, table_no, row_no, name, value``: the cells of Markdown tables, named by their header.
+def pipe_tables(df: DataFrame, id_col: str, text_col: str, *further: str) -> DataFrame:
+    """``<id_col>, table_no, row_no, <further>, name, value`` (further may be ``col``, from 0): the cells of Markdown tables, named by their header.
 
     A table is a run of lines that begin and end with a bar and whose second line is a divider. Runs are found as islands
     of consecutive lines; empty header cells are named by their column number, further cells than headers are left out.
@@ -107,7 +108,7 @@ def pipe_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = F.posexplode(F.arrays_zip(cells("head").alias("n"), cells("line").alias("v"))).alias("col", "cell")
     rows = rows.select(id_col, F.dense_rank().over(Window.partitionBy(id_col).orderBy("island")).alias("table_no"), (F.col("at") - 2).alias("row_no"), pairs)
     name = F.when(F.col("cell.n") == "", F.concat(F.lit("column "), F.col("col") + 1)).otherwise(F.col("cell.n"))
-    return rows.where("cell.n is not null").select(id_col, "table_no", "row_no", name.alias("name"), F.coalesce("cell.v", F.lit("")).alias("value"))
+    return rows.where("cell.n is not null").select(id_col, "table_no", "row_no", *further, name.alias("name"), F.coalesce("cell.v", F.lit("")).alias("value"))
 
 
 def element_type(text: Column) -> Column:
@@ -123,21 +124,20 @@ def element_type(text: Column) -> Column:
 
 
 def section_chunks(chunks: DataFrame) -> DataFrame:
-    """``documentId, sectionPath, n, tokens, first_index, last_index, digest``: each section's chunks as one text.
+    """``documentId, sectionPath, n, tokens, first_index, last_index, digest``: each section's chunks as one.
 
-    Chunks delivered twice count once; the texts are joined in the order of their index, then id.
+    Chunks delivered twice count once. ``digest`` is of the chunks' digests in the order of their index, then id, a
+    thousand places at a time: no section's texts are gathered, and of a hot one no more than a slice's digests.
     """
-    rows = chunks.select("id", "documentId", "sectionPath", "chunkIndex", "content").dropDuplicates(["id"]).where("content is not null")
-    parts = F.sort_array(F.collect_list(F.struct("chunkIndex", "id", "content")))
-    joined = rows.groupBy("documentId", "sectionPath").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(estimate_tokens(F.col("content"))).cast("bigint").alias("tokens"),
-        F.min("chunkIndex").alias("first_index"),
-        F.max("chunkIndex").alias("last_index"),
-        parts.alias("parts"),
-    )
-    text = F.array_join(F.transform("parts", lambda p: p["content"]), "\n")
-    return joined.select("documentId", "sectionPath", "n", "tokens", "first_index", "last_index", F.md5(text).alias("digest"))
+    rows = chunks.where("content is not null").select("id", "documentId", "sectionPath", "chunkIndex", estimate_tokens(F.col("content")).alias("tokens"), F.md5("content").alias("d"))
+    rows = rows.dropDuplicates(["id"]).withColumn("slice", F.coalesce(F.floor(F.col("chunkIndex") / SLICE), F.lit(-1)))
+    digest = lambda *order: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "d"))), lambda p: p["d"]), ""))
+    slices = rows.groupBy("documentId", "sectionPath", "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.min("chunkIndex").alias("first_index"), F.max("chunkIndex").alias("last_index"), digest("chunkIndex", "id").alias("d"),
+    )
+    return slices.groupBy("documentId", "sectionPath").agg(
+        F.sum("n").alias("n"), F.sum("tokens").cast("bigint").alias("tokens"), F.min("first_index").alias("first_index"), F.max("last_index").alias("last_index"), digest("slice").alias("digest"),
+    )
 
 
 def pack_tokens(df: DataFrame, id_col: str, text_col: str, *, most: int = 1500, overlap: int = 300, least_chars: int = 32) -> DataFrame:

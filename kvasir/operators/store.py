@@ -184,3 +184,100 @@ def lost_characters(source: DataFrame, target: DataFrame, id_col: str, text_col:
 
     both = counted(source, "a").join(counted(target, "b"), [id_col, "c"], "left").fillna(0, ["b"])
     return both.groupBy(id_col).agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"))
+
+
+def point_lookup(df: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows of a few keys, by a filter that reaches the scan; repeated rows once by all columns but texts are compared by digest."""
+    return df.where(F.col(key).isin(values))
+
+
+def section_range(chunks: DataFrame, document: int, path: str) -> DataFrame:
+    """A section's chunks in the order of their index."""
+    return chunks.where((F.col("documentId") == document) & (F.col("sectionPath") == path)).orderBy("chunkIndex", "id")
+
+
+def session_rows(chat: DataFrame, session: Column, last: int = 10) -> DataFrame:
+    """``session, id, place``: the ``last`` exchanges of each session, the newest first."""
+    rows = chat.where("createdAt is not null").select(session.alias("session"), "id", "createdAt").where("session is not null").dropDuplicates(["id"])
+    w = Window.partitionBy("session").orderBy(F.desc("createdAt"), F.desc("id"))
+    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= last).select("session", "id", "place")
+
+
+def exists_by(keys: DataFrame, key: str, rows: DataFrame, column: str) -> DataFrame:
+    """``key, present``: whether any row has the key."""
+    have = rows.where(F.col(column).isNotNull()).select(F.col(column).alias(key)).distinct().withColumn("present", F.lit(True))
+    return keys.select(key).distinct().join(have, key, "left").fillna(False, ["present"])
+
+
+def assign(df: DataFrame, key: str, wanted: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` set for the keys of ``wanted`` (``key, value``), as an update by a list of keys does."""
+    return df.join(wanted.select(F.col("key").alias(key), F.col("value").alias("_value")), key, "left").withColumn(column, F.coalesce("_value", column)).drop("_value")
+
+
+def insert_or_update(stored: DataFrame, fresh: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """``stored`` read and written again: of each key the fresh values where there are any, else the stored ones."""
+    renamed = fresh.select(*keys, *(F.col(v).alias(f"_{v}") for v in values), F.lit(True).alias("_fresh"))
+    both = stored.select(*keys, *values).join(renamed, keys, "full")
+    return both.select(*keys, *(F.when(F.col("_fresh"), F.coalesce(f"_{v}", v)).otherwise(F.col(v)).alias(v) for v in values))
+
+
+def replace_by_key(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """``stored`` with all rows of the keys of ``fresh`` replaced by those of ``fresh``."""
+    gone = fresh.select(key).distinct().withColumn("_gone", F.lit(True))
+    return skew_left_join(stored, gone, key).where("_gone is null").drop("_gone").unionByName(fresh)
+
+
+def delete_source(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """``doc_id, action``: what happens to the documents of sources that are deleted (``syncSourceId``).
+
+    Those whose indexing failed are deleted, those being processed are marked failed, all others are kept, detached.
+    """
+    hit = documents.join(F.broadcast(sources.select("syncSourceId").distinct()), "syncSourceId")
+    action = F.when(F.col("status") == "failed", "delete").when(F.col("status") == "processing", "fail").otherwise("detach")
+    return hit.select("doc_id", action.alias("action"))
+
+
+def origin_statistics(chat: DataFrame, origin: str = "source") -> DataFrame:
+    """``origin``, its exchanges, those answered, rated and with a session, and when the first and the last was."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return chat.dropDuplicates(["id"]).groupBy(F.col(origin).alias("origin")).agg(
+        F.count(F.lit(1)).alias("requests"), n(F.col("response").isNotNull()).alias("answered"), n(F.col("rating").isNotNull()).alias("rated"),
+        F.countDistinct(F.lower(F.trim("sessionId"))).alias("sessions"), F.min("createdAt").alias("first_seen"), F.max("createdAt").alias("last_seen"),
+    )
+
+
+def sync_totals(actions: DataFrame) -> DataFrame:
+    """``kind, source, action, n``: actions by kind, by source and altogether; null stands for all."""
+    sets = actions.cube("kind", "source").agg(*(F.sum(F.when(F.col("action") == a, 1).otherwise(0)).alias(a) for a in ("add", "update", "same", "orphan", "restore")))
+    return sets
+
+
+def same_source(derived_hash: Column, saved: Column, source_hash: Column, versions: tuple[str, ...]) -> Column:
+    """Whether a derived document was made from a source with this hash, by what it saved or by the digests of converters' versions and the hash."""
+    made = [derived_hash == F.sha2(F.concat_ws(":", F.lit(v), source_hash), 256) for v in versions]
+    return source_hash.isNotNull() & F.when(saved.isNotNull(), saved == source_hash).otherwise(reduce(Column.__or__, made, derived_hash == source_hash))
+
+
+def recoverable(doc: DataFrame) -> DataFrame:
+    """``doc`` with ``recoverable``: whether a review can go on where it stopped.
+
+    ``doc`` has ``docType, fileType, status, message, required, has_review, review_hash, source_hash, outlined``: not if a
+    new review is required or the source has changed since; only for a Markdown manual that waits for a review, or whose
+    indexing failed after one.
+    """
+    changed = F.coalesce(F.col("review_hash") != F.col("source_hash"), F.lit(False))
+    waits = (F.col("status") == "processing") & F.coalesce(F.contains("message", F.lit("waits for review")), F.lit(False))
+    failed = (F.col("status") == "failed") & F.col("has_review")
+    ok = (F.col("docType") == "installation") & (F.col("fileType") == "md") & (waits | failed) & (F.col("has_review") | F.col("outlined"))
+    return doc.withColumn("recoverable", F.coalesce(ok & ~changed & ~F.coalesce(F.col("required"), F.lit(False)), F.lit(False)))
+
+
+def orphan_counts(tables: dict[str, tuple[DataFrame, str]], parents: DataFrame, key: str) -> DataFrame:
+    """``name, orphans``: how many records (``id``) of each table name a parent that isn't there; all if there are no parents."""
+    have = parents.select(F.col(key).alias("_key")).distinct().withColumn("_here", F.lit(True))
+    found = []
+    for name, (df, column) in sorted(tables.items()):
+        rows = df.where(F.col(column).isNotNull()).select("id", F.col(column).alias("_key")).distinct()
+        lost = skew_left_join(rows, have, "_key").where("_here is null")
+        found.append(lost.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("name"), "orphans"))
+    return reduce(DataFrame.unionAll, found)

@@ -78,7 +78,8 @@ ORACLES = {
     "word_windows": r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') ws from documents where text is not null),
         s as (select doc_id, ws, unnest(range(0, len(ws), 80)) s from w where len(ws) > 0)
         select doc_id, s // 80 pos, len(ws[s + 1:s + 100]) n_words, md5(array_to_string(ws[s + 1:s + 100], ' ')) digest from s""",
-    "section_chunks": r"""with r as (select distinct id, documentId, sectionPath, chunkIndex, content from document_chunks where content is not null)
-        select documentId, sectionPath, count(*) n, sum(greatest(1, ceil(length(content) / 4)))::bigint tokens, min(chunkIndex) first_index, max(chunkIndex) last_index,
-          md5(string_agg(content, chr(10) order by chunkIndex nulls first, id)) digest from r group by documentId, sectionPath""",
+    "section_chunks": r"""with r as (select distinct id, documentId, sectionPath, chunkIndex, content from document_chunks where content is not null),
+        s as (select documentId, sectionPath, coalesce(chunkIndex // 1000, -1) slice, count(*) n, sum(greatest(1, ceil(length(content) / 4))) t, min(chunkIndex) a, max(chunkIndex) b,
+          md5(string_agg(md5(content), '' order by chunkIndex nulls first, id)) d from r group by 1, 2, 3)
+        select documentId, sectionPath, sum(n)::bigint n, sum(t)::bigint tokens, min(a) first_index, max(b) last_index, md5(string_agg(d, '' order by slice)) digest from s group by documentId, sectionPath""",
 }

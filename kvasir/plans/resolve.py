@@ -26,8 +26,10 @@ def model_scope(spark, d):
 
 
 def subject_match(spark, d):
-    names = table(spark, d, "product_groups").select("name")
-    return R.subject_match(_searches(spark, d), names)
+    """The one product that a question for the data of a group's name means."""
+    names = table(spark, d, "product_groups").select("id", "name").distinct()
+    asked = names.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("Расскажите про характеристики "), "name").alias("text"))
+    return R.subject_match(asked, names.select("name"))
 
 
 def assortment_questions(spark, d):
@@ -95,15 +97,15 @@ _BEGIN = "list_transform(range(1, len(string_split({0}, '-')) + 1), lambda n: ar
 _FAMILIES = "list_filter([" + ", ".join(f"'{f}'" for f in R.FAMILIES) + "], lambda f: contains({0}, f))"
 ORACLES = {
     "model_scope": f"""with a as (select query_id, m[1] model from (select distinct id query_id, {_M('query')} m from chat_history where id % 20 = 0 and query is not null) where len(m) = 1),
-        o as (select distinct s.documentId d, sectionPath p, title, {_M('title')} codes from sections s join documents on doc_id = s.documentId and docType = 'catalog' and status = 'indexed'
-          where not regexp_matches(replace(lower(title), 'ё', 'е'), '{R.NOT_OWNER}')),
+        o as (select distinct s.documentId d, sectionPath p, s.title, {_M('s.title')} codes from sections s join documents on doc_id = s.documentId and docType = 'catalog' and status = 'indexed'
+          where not regexp_matches(replace(lower(s.title), 'ё', 'е'), '{R.NOT_OWNER}')),
         ex as (select codes[1] model, count(*) n from o where len(codes) = 1 group by 1), c as (select distinct d, p, unnest(codes) code from o),
         near as (select model, d, p from (select distinct model from a) a join (select d, p, code, unnest({_BEGIN.format('code')}) b from c) c on b = model and code <> model
           union select model, d, p from (select model, unnest({_BEGIN.format('model')}) b from (select distinct model from a)) a join c on code = b and b <> model),
         re as (select model, count(*) n from near group by 1)
         select query_id, a.model, case when ex.n is not null then 'exact' when re.n is not null then 'related' else 'none' end "found", coalesce(ex.n, re.n, 0) sections from a left join ex using (model) left join re using (model)""",
     "subject_match": f"""with a as (select query_id, list_distinct(list_transform(list_filter(regexp_extract_all(replace(lower(q), 'ё', 'е'), '[а-яa-z0-9]+'), lambda w: not regexp_matches(w, '{R.COMMON}')), lambda w: {T.sql_stem("w")})) terms
-          from (select distinct id query_id, query q from chat_history where id % 20 = 0 and query is not null)),
+          from (select distinct id query_id, 'Расскажите про характеристики ' || "name" q from product_groups where id % 20 = 0)),
         b as (select * from a where len(list_filter(terms, lambda t: regexp_matches(t, '^[а-яa-z]{{3,}}$'))) > 0),
         o as (select list_sort({_STEMS.format('n')}) stems, min(n) "name" from (select distinct "name" n from product_groups) where regexp_matches(replace(lower(n), 'ё', 'е'), '{intent.I.PRODUCT}') and not regexp_matches(replace(lower(n), 'ё', 'е'), '{R.NOT_SUBJECT}') group by 1),
         w as (select query_id, "name" from b join o on len(list_intersect(terms, stems)) = len(terms))
@@ -125,5 +127,5 @@ ORACLES = {
     "own_manuals": f"""with a as (select query_id, array_to_string(string_split(m[1], '-')[1:2], '-') model from (select distinct id query_id, {_M('query')} m from chat_history where id % 20 = 0 and query is not null) where len(m) = 1),
         t as (select doc_id, docType, {_M('title')} codes from documents where title is not null),
         h as (select query_id, doc_id, model, docType in ('installation', 'instruction') and len(codes) = 1 own from a join t on list_contains(codes, model)),
-        f as (select *, bool_or(own) over (partition by query_id) some from h) select query_id, doc_id documentId from f where own or not some""",
+        f as (select *, bool_or(own) over (partition by query_id) any_own from h) select query_id, doc_id documentId from f where own or not any_own""",
 }

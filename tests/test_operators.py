@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from kvasir.functions.bloom import MOST_BITS, bloom_bits, bloom_filter, might_contain
 from kvasir.operators import catalog
-from kvasir.operators import moderate as M
 from kvasir.operators import route as R
 from kvasir.operators import score as S
 from kvasir.operators import store
@@ -143,18 +142,6 @@ def test_one_edit_apart(spark):
     assert {(r.a, r.b) for r in R.one_edit_apart(df, "w", "w").collect()} == {("кольца", "кольцо"), ("кольц", "кольца"), ("кольц", "кольцо"), ("трубка", "трубкаа")}
 
 
-def test_moderation(spark):
-    terms = ("насос*", "красный кран", "pump")
-    assert M.findings("Ваши НАCОСЫ хороши", terms) == ["насос*"]  # with a Latin C
-    assert M.findings("н*сосы", terms) == ["насос*"]
-    assert M.findings("красный  кр#н!", terms) == ["красный кран"]
-    assert M.findings("поднасос", terms) == []
-    df = spark.createDataFrame([(1, "a pump"), (2, "b"), (3, None)], "id long, t string")
-    hits = M.scan(df, "id", "t", list(terms))
-    assert [(r.id, r.rules) for r in hits.collect()] == [(1, "pump")]
-    assert {(r.id, r.t, r.blocked) for r in M.gate(df, hits, "id", "t", "-").collect()} == {(1, "-", True), (2, "b", False), (3, None, False)}
-
-
 def test_limiter_and_lock(spark):
     at = [0, 10, 20, 59, 60, 61, 200]
     rows = [(i, "k", T0 + dt.timedelta(seconds=s)) for i, s in enumerate(at)]
