@@ -19,6 +19,7 @@ from kvasir.functions.blank import is_blank
 HOUR = 3600
 RESEND_SECONDS = 10
 YEARS = (2020, 2030)
+UNTIMED = 1024  # parts of a session's rows without a time
 LEAST_GAP, MOST_GAP = 60, 30 * 24 * HOUR  # seconds between which the calibrated limit lies
 
 
@@ -46,8 +47,10 @@ def exchanges(df: DataFrame, slice_seconds: int = HOUR) -> DataFrame:
         F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at).alias("us"),
         F.md5(F.concat_ws("\u0001", F.length("query").cast("string"), "query", "response")).alias("text"),
     ).where(F.col("session").isNotNull())
-    slice_of = F.floor(F.col("us") / (slice_seconds * 1_000_000)).cast("bigint")
-    late = F.col("us") >= (slice_of + 1) * slice_seconds * 1_000_000 - RESEND_SECONDS * 1_000_000
+    # Rows without a sound time, which condemn their session, are dealt out by their id.
+    spread = -1 - F.pmod(F.xxhash64("id"), F.lit(UNTIMED))
+    slice_of = F.coalesce(F.floor(F.col("us") / (slice_seconds * 1_000_000)).cast("bigint"), spread)
+    late = F.col("us").isNotNull() & (F.col("us") >= (slice_of + 1) * slice_seconds * 1_000_000 - RESEND_SECONDS * 1_000_000)
     rows = rows.withColumn("slice", F.explode(F.when(late, F.array(slice_of, slice_of + 1)).otherwise(F.array(slice_of))))
     rows = rows.withColumn("echo", F.coalesce(F.col("slice") > slice_of, F.lit(False)))
     return rows.repartition("session", "slice").dropDuplicates(["session", "slice", "id"])
