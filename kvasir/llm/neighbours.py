@@ -308,11 +308,11 @@ def most_similar(
     k: int = 5,
     floor: float = 0.85,
     size: int = 64,
-    trees: int = 2,
+    trees: int = 3,
     block_rows: int = 32_768,
     leaf: int = 512,
-    p_border: float = 0.5,
-    p_stop: float = 0.8,
+    p_border: float = 0.4,
+    p_stop: float = 0.7,
     sample_rows: int = 65_536,
 ) -> DataFrame:
     """``id, other, sim``: the ``k`` most similar other usable rows of every usable row, of those with a cosine of ``floor`` or more.
