@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +90,64 @@ def stream_counts(stream: DataFrame, at: str, width: str, late: str) -> DataFram
     """A streaming count of distinct events by window and type; events later than ``late`` are dropped."""
     once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window(at, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("begin"), "event_type", "n")
+
+
+def stream_fixed_limit(stream: DataFrame, key: str, at: str, *, most: int = 30, seconds: float = 60, idle_minutes: int = 60) -> DataFrame:
+    """A stream of ``event_id, <key>, window_no, n, allowed``: :func:`fixed_window_limit` over a stream with a watermark on ``at``.
+
+    A key's state is its window's beginning, number and count; it is dropped after ``idle_minutes`` of event time without
+    an event, so the state holds only keys that are in use. Events of one batch are taken in order of time, then id.
+    """
+    span = pd.Timedelta(seconds=seconds)
+    types = dict(stream.dtypes)
+
+    def fold(who: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        begin_us, number, n = state.get if state.exists else (None, 0, 0)
+        begin = None if begin_us is None else pd.Timestamp(begin_us, unit="us")
+        batch = pd.concat(list(parts)).sort_values([at, "event_id"], kind="stable")
+        rows = []
+        for event, t in zip(batch["event_id"], batch[at]):
+            if begin is None or t - begin >= span:
+                begin, number, n = t, number + 1, 0
+            n += 1
+            rows.append((event, who[0], number, n, n <= most))
+        state.update((begin.as_unit("us").value, number, n))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(batch[at].max().timestamp() * 1000)) + idle_minutes * 60_000)
+        yield pd.DataFrame(rows, columns=["event_id", key, "window_no", "n", "allowed"])
+
+    rows = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select("event_id", key, at)
+    schema = f"event_id {types['event_id']}, `{key}` {types[key]}, window_no bigint, n bigint, allowed boolean"
+    return rows.groupBy(key).applyInPandasWithState(fold, schema, "begin long, number long, n long", "append", "EventTimeTimeout")
+
+
+def stream_sessions(stream: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
+    """A stream of ``<key>, begin, end, n``: runs of a key's events without a pause of ``gap``, given out when the watermark has passed them."""
+    runs = stream.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return runs.select(key, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
+
+
+def stream_upsert(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str):
+    """A query that keeps the last row of each key in a Parquet folder partitioned by ``bucket``: only the buckets that a batch has keys of are written again.
+
+    A batch that is run a second time after a failure gives the same rows.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        w = Window.partitionBy(*keys).orderBy(F.desc(order))
+        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(64)).cast("int"))
+        hit = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most 64
+        if not hit:
+            return
+        try:
+            stored = spark.read.parquet(path).where(F.col("bucket").isin(hit))
+            both = stored.select(fresh.columns).unionByName(fresh)
+        except AnalysisException:  # the first batch
+            both = fresh
+        last = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").checkpoint()
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
