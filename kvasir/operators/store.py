@@ -281,3 +281,9 @@ def orphan_counts(tables: dict[str, tuple[DataFrame, str]], parents: DataFrame,
         lost = skew_left_join(rows, have, "_key").where("_here is null")
         found.append(lost.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("name"), "orphans"))
     return reduce(DataFrame.unionAll, found)
+
+
+def due(sources: DataFrame, now, seconds: int, at: str = "lastSyncedAt") -> DataFrame:
+    """The enabled sources whose last run lies at least ``seconds`` before ``now``, or that never ran."""
+    late = F.col(at).isNull() | (F.col(at) <= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {seconds} seconds"))
+    return sources.where(F.coalesce(F.col("enabled"), F.lit(False)) & late)

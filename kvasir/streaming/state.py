@@ -67,6 +67,31 @@ def lockouts(failures: DataFrame, key: str, at: str, *, most: int = 10, minutes:
     return _in_order(rows, key, at).mapInPandas(fold, f"`{key}` {types[key]}, locked_at {types[at]}")
 
 
+def concurrency_limit(events: DataFrame, key: str, at: str, millis: str, *, most: int = 4) -> DataFrame:
+    """``event_id, <key>, allowed``: whether fewer than ``most`` allowed events of the key are under way when one begins.
+
+    An event is under way from its time for ``millis`` milliseconds. A key's state is the ends of what is under way, at
+    most ``most`` of them, folded over its events in order of time, then id.
+    """
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, ends = None, []
+        for p in parts:
+            rows = []
+            for k, t, ms in zip(p[key], p[at], p[millis]):
+                if k != who:
+                    who, ends = k, []
+                ends = [e for e in ends if e > t]
+                rows.append(len(ends) < most)
+                if rows[-1]:
+                    ends.append(t + pd.Timedelta(milliseconds=float(ms)))
+            yield p[["event_id", key]].assign(allowed=rows)
+
+    types = dict(events.dtypes)
+    rows = events.select("event_id", key, at, millis).where(F.col(at).isNotNull() & F.col(millis).isNotNull())
+    return _in_order(rows, key, at, "event_id").mapInPandas(fold, f"event_id {types['event_id']}, `{key}` {types[key]}, allowed boolean")
+
+
 def tumbling(events: DataFrame, at: str, width: str, *keys: str) -> DataFrame:
     """``begin, <keys>, n, total``: events and their value in windows side by side."""
     w = F.window(at, width)
@@ -114,7 +139,7 @@ def stream_fixed_limit(stream: DataFrame, key: str, at: str, *, most: int = 30,
                 begin, number, n = t, number + 1, 0
             n += 1
             rows.append((event, who[0], number, n, n <= most))
-        state.update((begin.as_unit("us").value, number, n))
+        state.update((begin.value // 1000, number, n))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(batch[at].max().timestamp() * 1000)) + idle_minutes * 60_000)
         yield pd.DataFrame(rows, columns=["event_id", key, "window_no", "n", "allowed"])
 
