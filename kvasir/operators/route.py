@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kvasir.functions.text import fold, stem
 
+MOST_STEMS = 100_000
+
 
 def words(text: Column) -> Column:
     """The folded words of a text, each between spaces, so that phrases can be found as parts."""
@@ -62,14 +64,17 @@ def walk_up(sections: DataFrame, depth: int = 4) -> DataFrame:
 def title_score(queries: DataFrame, titles: DataFrame, most: int = 5) -> DataFrame:
     """``query_id, id, hits``: titles (``id, title``) by how many distinct stems they share with a query, the best ``most``.
 
-    Stems meet in a shuffle; a query is never compared with a title that shares none.
+    A query is never compared with a title that shares no stem. Stems of a batch of queries are broadcast if they are at
+    most :data:`MOST_STEMS`, so that a stem that many titles have is no hot key; more meet in a shuffle.
     """
 
     def stems(df: DataFrame, key: str, text: str) -> DataFrame:
         tokens = F.filter(F.split(F.trim(words(F.col(text))), " "), lambda w: F.length(w) >= 3)
         return df.select(key, F.explode(F.array_distinct(F.transform(tokens, stem))).alias("s"))
 
-    hits = stems(queries, "query_id", "text").join(stems(titles, "id", "title"), "s").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+    asked = stems(queries, "query_id", "text")
+    small = asked.limit(MOST_STEMS + 1).count() <= MOST_STEMS
+    hits = stems(titles, "id", "title").join(F.broadcast(asked) if small else asked, "s").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "id")
     return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 

@@ -234,7 +234,10 @@ def neighbours(hits: DataFrame, chunks: DataFrame, reach: int = 2, fade: float =
     ``hits`` has ``query_id, id, relevance``, ``chunks`` has ``id, documentId, sectionPath, chunkIndex``. A neighbour has
     ``fade`` of its hit's relevance; of several ways to a chunk the most relevant one stays, a hit before a neighbour.
     """
-    where = chunks.withColumn("place", F.row_number().over(Window.partitionBy("documentId", "sectionPath").orderBy("chunkIndex", "id")))
+    # Only the sections of hits are numbered.
+    asked = hits.select("id").distinct().join(chunks, "id").select("documentId", "sectionPath").distinct()
+    near = chunks.join(asked, (chunks.documentId == asked.documentId) & chunks.sectionPath.eqNullSafe(asked.sectionPath), "left_semi")
+    where = near.withColumn("place", F.row_number().over(Window.partitionBy("documentId", "sectionPath").orderBy("chunkIndex", "id")))
     at = hits.join(where, "id").select("query_id", "relevance", "documentId", "sectionPath", "place", F.col("id").alias("hit"))
     near = at.withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("place", F.col("place") + F.col("step"))
     found = near.join(where.where("sectionPath is not null"), ["documentId", "sectionPath", "place"])

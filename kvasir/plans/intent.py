@@ -72,7 +72,7 @@ def answer_checks(spark, d):
 
 def stage_trace(spark, d):
     """How many exchanges went through each stage; stages that an exchange has no trace of are filled in as skipped."""
-    chat = store._chat(spark, d).select("id", "query", "response", "documentsUsed", "sessionId")
+    chat = table(spark, d, "chat_history")
     took = [
         ("routing", I.asks_installation(F.col("query")) | I.asks_catalog(F.col("query"))), ("policy", I.catalog_only(F.col("query"))), ("retrieval", F.col("documentsUsed") > 0),
         ("answer", F.col("response").isNotNull()), ("history", F.col("sessionId").isNotNull()),
@@ -83,18 +83,19 @@ def stage_trace(spark, d):
 
 def rule_groups(spark, d):
     """Questions without a rule by the documents they aim at and their words, as candidates for a rule."""
-    asked = store._chat(spark, d).where("query is not null").select("id", F.col("query").alias("text"))
-    routed = R.route(asked, store._rules(spark))
-    left = asked.join(routed, "id", "left_anti")
-    terms = F.array_sort(F.array_distinct(F.transform(T.match_tokens(F.col("text")), T.stem)))
-    rows = left.select("id", I.task_targets(F.col("text")).alias("targets"), F.array_join(terms, " ").alias("terms"), "text").where("terms <> ''")
+    asked = _asked(spark, d)
+    routed = R.route(asked.select("id", F.col("query").alias("text")), store._rules(spark))
+    terms = F.array_sort(F.array_distinct(F.transform(T.match_tokens(F.col("query")), T.stem)))
+    rows = asked.select("id", I.task_targets(F.col("query")).alias("targets"), F.array_join(terms, " ").alias("terms")).where("terms <> ''")
+    rows = _once(rows, "id").join(routed, "id", "left_anti")
     return R.group_traces(rows).select("key", "targets", "n", "first_id")
 
 
 def accepted_rules(spark, d):
     """The rules with the most frequent questions of each added to their terms."""
-    asked = store._chat(spark, d).where("query is not null").select("id", F.col("query").alias("text"))
-    hits = R.route(asked, store._rules(spark)).join(asked, "id").groupBy("rule", F.trim(R.words(F.col("text"))).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    asked = _asked(spark, d).select("id", F.col("query").alias("text"))
+    words = _once(asked.select("id", F.trim(R.words(F.col("text"))).alias("term")), "id")
+    hits = R.route(asked, store._rules(spark)).select("id", "rule").join(words, "id").groupBy("rule", "term").agg(F.count(F.lit(1)).alias("n"))
     return R.accept_terms(store._rules(spark), hits, 2)
 
 
@@ -106,13 +107,14 @@ def routed_types(spark, d):
 
 def answer_path(spark, d):
     """The first step that decides how an exchange is answered, with how many of the three exchanges before it its session has."""
-    chat = store._chat(spark, d)
+    chat = table(spark, d, "chat_history")
     q = F.coalesce("query", F.lit(""))
     step = (
         F.when(I.asks_competitor(q, BRANDS, OWN), "competitor").when(I.names_product_only(q), "ask for the task").when(I.too_generic(q), "ask for the product")
         .when(I.catalog_only(q), "catalogue").when(I.asks_installation(q), "installation").otherwise("search")
     )
-    return chat.select("id", step.alias("step")).join(R.session_history(chat.select("id", "sessionId", "createdAt"), "sessionId"), "id", "left").fillna(0, ["previous"])
+    history = R.session_history(_once(chat.select("id", "sessionId", "createdAt"), "id"), "sessionId")
+    return _once(chat.select("id", step.alias("step")), "id").join(history, "id", "left").fillna(0, ["previous"])
 
 
 def sku_words(spark, d):

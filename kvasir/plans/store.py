@@ -150,8 +150,8 @@ def _rules(spark):
 
 
 def route_rules(spark, d):
-    asked = _chat(spark, d).where("query is not null").select("id", F.col("query").alias("text"))
-    return R.route(asked, _rules(spark))
+    asked = table(spark, d, "chat_history").where("query is not null").select("id", F.col("query").alias("text"))
+    return R.route(asked, _rules(spark))  # repeated records come together there
 
 
 def session_history_lag(spark, d):

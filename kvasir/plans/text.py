@@ -46,14 +46,14 @@ def clean_text(spark, d):
 
 
 def strip_footnotes(spark, d):
-    chunks = table(spark, d, "document_chunks").select("id", "content").distinct()
-    return chunks.where("content is not null").select("id", F.md5(T.strip_footnotes(F.col("content"))).alias("digest"))
+    chunks = table(spark, d, "document_chunks").where("content is not null")
+    return chunks.select("id", F.md5(T.strip_footnotes(F.col("content"))).alias("digest")).distinct()
 
 
 def token_estimate(spark, d):
-    est = T.estimate_tokens(F.col("content"))
-    chunks = table(spark, d, "document_chunks").select("id", "content", "tokenCount").distinct().where("content is not null")
-    return chunks.groupBy("tokenCount").agg(F.sum(est).cast("bigint").alias("estimated"), F.count(F.lit(1)).alias("chunks"))
+    chunks = table(spark, d, "document_chunks").where("content is not null")
+    chunks = chunks.select("id", T.estimate_tokens(F.col("content")).alias("n"), "tokenCount").distinct()
+    return chunks.groupBy("tokenCount").agg(F.sum("n").cast("bigint").alias("estimated"), F.count(F.lit(1)).alias("chunks"))
 
 
 def normalize_line(spark, d):
@@ -77,8 +77,8 @@ def table_cells(spark, d):
 
 
 def detect_script(spark, d):
-    chunks = table(spark, d, "document_chunks").select("id", "content", "language").distinct()
-    return chunks.groupBy("language", T.script(F.col("content")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+    chunks = table(spark, d, "document_chunks").select("id", T.script(F.col("content")).alias("script"), "language").distinct()
+    return chunks.groupBy("language", "script").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sku_keys(spark, d):
