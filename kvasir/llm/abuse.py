@@ -35,6 +35,7 @@ LABELS = ("clean", "abuse", "hate", "sexual")
 WINDOW, STRIDE = 14, 7  # words
 DIM, HIDDEN = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 14
+LEAST_HELD = 20  # held-out cases that a threshold is set by; with fewer it is the highest
 PRECISION, LEAST_THRESHOLD, MOST_THRESHOLD = 0.97, 0.75, 0.99  # how the threshold is set
 CONTRADICTED = (0.1, 0.9)  # held-out scores of an abusive verdict below, and of a clean one above, that make it a wrong one
 LABEL_ROWS = 12_000  # verdicts that the network is fitted on at most
@@ -264,7 +265,7 @@ def train(samples: list[tuple[str, str]], *, rounds: int = 12, seed: int = SEED)
     bad = np.array([y > 0 for _, y in texts])
     wrong = np.where(bad, held < CONTRADICTED[0], held > CONTRADICTED[1])
     grid = np.arange(LEAST_THRESHOLD, MOST_THRESHOLD, 0.02)
-    good = [t for t in grid if (held >= t).any() and (bad | wrong)[held >= t].mean() >= PRECISION]
+    good = [t for t in grid if (held >= t).sum() >= LEAST_HELD and (bad | wrong)[held >= t].mean() >= PRECISION]
     kept = [t for t, w in zip(texts, wrong) if not w]
     if not any(y for _, y in kept):  # too few verdicts to tell wrong ones
         kept = texts
@@ -301,10 +302,10 @@ def fit(texts: list[tuple[tuple[str, ...], int]], *, rounds: int = 12, batch: in
         rows = usual + rng.sample(single, n_clean)
         if turn >= HARD_FROM:  # the clean windows that look worst, of texts that aren't doubted
             every = usual + single
-            looks = 1 - Scorer(net).windows([s for s, *_ in every])[:, 0]
+            looks = 1 - Scorer(net, f).windows([s for s, *_ in every])[:, 0]
             hard = [i for i in np.argsort(-looks, kind="stable").tolist() if trust[every[i][2]]][: max(1, n_clean // 4)]
             rows += [every[i] for i in hard if looks[i] > HARD]
-        worst = _worst_windows(net, texts) if turn >= WORST_FROM else first
+        worst = _worst_windows(Scorer(net, f), texts) if turn >= WORST_FROM else first
         for i, (words, y) in enumerate(texts):
             if y:
                 spans = windows_of(list(words))
@@ -346,7 +347,7 @@ def fit(texts: list[tuple[tuple[str, ...], int]], *, rounds: int = 12, batch: in
                 v2[key] = 0.999 * v2[key] + 0.001 * grad * grad
                 net.p[key] -= (lr * fix * m[key] / (np.sqrt(v2[key]) + 1e-8)).astype(np.float32)
         if turn in doubts:
-            s = Scorer(net).scores([list(w) for w, _ in texts]).sum(1)
+            s = Scorer(net, f).scores([list(w) for w, _ in texts]).sum(1)
             bad = np.array([y > 0 for _, y in texts])
             trust = np.where(bad, s > doubts[turn], s < 1 - doubts[turn] / 4).astype(np.float32)
     return net
@@ -371,9 +372,9 @@ def _telling_windows(texts: list[tuple[tuple[str, ...], int]]) -> dict[int, int]
     return best
 
 
-def _worst_windows(net: Network, texts: list[tuple[tuple[str, ...], int]]) -> dict[int, int]:
+def _worst_windows(scorer: Scorer, texts: list[tuple[tuple[str, ...], int]]) -> dict[int, int]:
     """The window of each longer abusive text that fits its label best."""
-    scorer, own, flat = Scorer(net), [], []
+    own, flat = [], []
     for i, (words, y) in enumerate(texts):
         if y and len(words) > WINDOW:
             spans = windows_of(list(words))
@@ -389,8 +390,8 @@ def _worst_windows(net: Network, texts: list[tuple[tuple[str, ...], int]]) -> di
 class Scorer:
     """Scores texts with a fitted network; words' projected vectors are computed once."""
 
-    def __init__(self, net: Network):
-        self.net, self.f = net, _Features()
+    def __init__(self, net: Network, features: _Features | None = None):
+        self.net, self.f = net, features or _Features()  # words may be known already
         self.table = np.zeros((0, 6 * HIDDEN), np.float32)
 
     def _extend(self) -> None:
