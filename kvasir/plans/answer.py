@@ -252,6 +252,10 @@ ORACLES = {
     "table_headings": """with f as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') ls from documents),
         h as (select doc_id, list_filter(list_reverse(ls[greatest(len(ls) - 7, 1):]), lambda x: regexp_matches(replace(lower(x), 'ё', 'е'), 'таблиц|номенклатур|размер|характеристик') or (ends_with(x, ':') and length(x) <= 80))[1] h from f)
         select doc_id, md5(h) digest from h where h is not null""",
+    "inserted_tables": r"""with t as (select doc_id, text, strpos(lower(text), 'технические характеристики') p from documents where text is not null),
+        a as (select *, substr(text, p + 26) z from t), b as (select *, case when p > 0 then regexp_extract(z, '^[ \t\n\x0B\f\r]*:') else '' end col from a)
+        select doc_id, md5(case when p > 0 then trim(regexp_replace(left(text, p + 25) || col, '[ \t\n\x0B\f\r]+$', '') || chr(10) || chr(10) || '| a |' || chr(10) || regexp_replace(substr(z, length(col) + 1), '^[ \t\n\x0B\f\r]+', ''), ' ')
+          else trim(trim(text, ' ') || chr(10) || chr(10) || '[таблица]' || chr(10) || '| a |', ' ') end) digest from b""",
     "attribute_rows": _CELLS + """select doc_id, table_no, count(distinct row_no) "rows" from named where contains(lower("name" || ' ' || "value"), '25') or contains(lower("name" || ' ' || "value"), 'масса') group by all""",
     "missing_tables": _CELLS + r""", x as (select doc_id, table_no, row_no, "name", lower(regexp_replace("value", '\s+', '', 'g')) v from named),
         f as (select doc_id, table_no, md5(string_agg("name" || '=' || v, '|' order by row_no, "name", v)) fingerprint from x group by all), g as (select f.*, docType from f join documents using (doc_id))

@@ -84,6 +84,11 @@ QUERIES = {
 
 _HITS = plans._BM25 + ", h as (select distinct rk.query_id, rk.id, score relevance, documentId, sectionPath from rk join document_chunks using (id) where rank <= 10)"
 ORACLES = {
+    "reading_lines": """with recursive r as (select distinct on (id) id, documentId d, pageNumber p, json_extract(c, '$.bbox.x')::double x, json_extract(c, '$.bbox.y')::double y from (select *, case when json_valid(coordinates) then coordinates::json end c from manual_regions)),
+        e as (select *, row_number() over (partition by d, p order by y, x, id) k from r where x is not null and y is not null),
+        f as (select d, p, k, id, x, y top, 1::bigint line_no from e where k = 1
+          union all select e.d, e.p, e.k, e.id, e.x, case when e.y - f.top > 5 then e.y else f.top end, case when e.y - f.top > 5 then line_no + 1 else line_no end from f join e on e.d is not distinct from f.d and e.p is not distinct from f.p and e.k = f.k + 1)
+        select d documentId, p pageNumber, id, line_no, row_number() over (partition by d, p, line_no order by x, id) in_line from f""",
     "table_fingerprints": chunk_plans._TABLES + r""", x as (select doc_id, table_no, row_no, "name", lower(regexp_replace("value", '\s+', '', 'g')) v from named)
         select doc_id, table_no, max(row_no) "rows", md5(string_agg("name" || '=' || v, '|' order by row_no, "name", v)) fingerprint from x group by all""",
     "document_outline": r"""with r as (select distinct id, documentId, sectionPath, "level", pageStart from sections),

@@ -63,6 +63,10 @@ _TABLES = rf"""with {_LINES}, r as (select doc_id, trim(line) line, "no" from l
 """
 ORACLES = {
     "markdown_tables": _TABLES + 'select doc_id, table_no, row_no, "name", "value" from named',
+    "paragraph_pack": r"""with recursive d as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x, ' ')), lambda x: x <> '') ps from documents where text is not null),
+        f as (select doc_id, ps, 1 k, length(ps[1]) n, 0 pos from d where len(ps) > 0
+          union all select doc_id, ps, k + 1, case when n + 2 + length(ps[k + 1]) <= 1200 then n + 2 + length(ps[k + 1]) else length(ps[k + 1]) end, case when n + 2 + length(ps[k + 1]) <= 1200 then pos else pos + 1 end from f where k < len(ps))
+        select doc_id, pos, arg_max(n, k) n_chars from f group by doc_id, pos""",
     "paragraphs": r"""with d as (select doc_id, text from documents where text is not null),
         s as (select doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda x: trim(x)), lambda x: x <> '') bl,
           list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') se from d),

@@ -117,6 +117,10 @@ _R = """r as (select distinct on (id) id, documentId, pageNumber, regionType, ex
     from (select *, case when json_valid(coordinates) then coordinates::json end c from manual_regions))"""
 _SKU = N.SKU_COLUMN
 ORACLES = {
+    "sections_by_titles": r"""with l as (select doc_id, unnest(ls) line, unnest(range(len(ls))) k from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null)),
+        f as (select *, sum(case when regexp_matches(line, '^\s*```') then 1 else 0 end) over (partition by doc_id order by k) % 2 = 1 fenced from l),
+        s as (select *, sum(case when not fenced and regexp_matches(line, '^#{1,6}\s+.+$') then 1 else 0 end) over (partition by doc_id order by k) "section" from f)
+        select doc_id, "section"::bigint "section", count(*) "lines", sum(length(line))::bigint chars from s group by all""",
     "numbered_headings": r"""with s as (select distinct id, sectionPath || '. ' || title l from sections), h as (select id, regexp_extract(l, '^\s*([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})\.?\s+(\p{L}.{1,118})$', 1) path,
         trim(regexp_extract(l, '^\s*([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})\.?\s+(\p{L}.{1,118})$', 2), ' ') title from s)
         select * from h where path <> '' and not regexp_matches(title, '[.!?;,]\s*$') and not regexp_matches(title, '[A-Z]{2}-[0-9]{2}-[0-9]{4}') and not regexp_matches(lower(title), '^(мм|см|м|кг|г|л|бар|шт|вт|mm|cm|m|kg|g|l|bar|pcs|w|nm)([^\p{L}\p{N}_]|$)')""",

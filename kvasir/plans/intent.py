@@ -35,8 +35,9 @@ def product_questions(spark, d):
 
 
 def competitor_questions(spark, d):
-    rows = _asked(spark, d).where(I.asks_competitor(F.col("query"), BRANDS, OWN)).select("id")
-    return rows.distinct()
+    """Product groups for whose replacement a question would be one for another maker's product."""
+    asked = table(spark, d, "product_groups").select("id", F.concat(F.lit("Есть ли аналог для "), "name").alias("query"))
+    return asked.where(I.asks_competitor(F.col("query"), BRANDS, OWN)).select("id").distinct()
 
 
 def intent_keywords(spark, d):
@@ -268,7 +269,11 @@ _IDENT = "select {0} from ({1})"
 ORACLES = {
     "source_policy": f"{_Q} select id, {_CATALOG_ONLY} catalog_only, {_has('l', 'сравн|сопостав')} and contains(l, 'каталог') and contains(l, 'паспорт') comparison from q",
     "product_questions": f"{_Q} select id, {_has('l', I.PRODUCT)} product, {_TARGETS} targets, {_BARE} bare from q",
-    "competitor_questions": f"{_Q} select distinct id from q where {_COMPETITOR}",
+    "competitor_questions": f"""with q as (select distinct id, replace(lower('Есть ли аналог для ' || "name"), 'ё', 'е') l from product_groups) select distinct id from q where {_COMPETITOR}""",
+    "accepted_rules": store.ORACLES["route_rules"].join(("with z as (", f"""),
+        w as (select distinct id, trim({store._WORDS}) t from chat_history where query is not null), n as (select "rule", t, count(*) n from z join w using (id) group by all),
+        e as (select "rule", t from n qualify row_number() over (partition by "rule" order by n desc, t) <= 2 union select * from (values {", ".join(f"('{name}', '{t}')" for _, name, _, ts in store.RULES for t in ts)}))
+        select "rule", string_agg(t, '|' order by t) terms from e group by 1""")),
     "intent_keywords": f"{_Q} select id, {_INSTALL} installation, {_CATALOG} \"catalog\" from q",
     "catalog_detectors": f"""{_Q} select id, case {" ".join(f"when {_words('l', *ws)} then '{n}'" for n, ws in I.ATTRIBUTES)} end attribute,
         case when {_has('l', 'описан|о товаре|для чего|назначен')} then 'description' when {_has('l', 'техническ.*характерист|тех.*характерист')} then 'technical'

@@ -56,6 +56,11 @@ def ext_json_props(spark, d):
 
 QUERIES = {f.__name__: f for f in (rate_limit_fixed, login_lock, ext_tumbling, ext_sliding, ext_session, ext_rollup, ext_setops, ext_approx_distinct, ext_json_props)}
 ORACLES = {
+    "login_lock": """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) k from events where event_type = 'error' and user_id is not null and ts is not null),
+        f as (select user_id, 0::bigint k, []::timestamp[] recent, null::timestamp until_, null::timestamp locked_at from (select distinct user_id from e)
+          union all select user_id, k, case when skip then old when len(r) >= 3 then [] else r end, case when not skip and len(r) >= 3 then ts + interval 7 days else until_ end, case when not skip and len(r) >= 3 then ts end
+            from (select e.user_id, e.k, e.ts, f.recent old, f.until_, coalesce(e.ts < f.until_, false) skip, list_append(list_filter(f.recent, lambda x: e.ts - x < interval 7 days), e.ts) r from f join e on e.user_id = f.user_id and e.k = f.k + 1))
+        select user_id, locked_at from f where locked_at is not null""",
     "ext_approx_distinct": "select event_type, count(distinct user_id) users, true \"close\" from events group by 1",
     "rate_limit_fixed": """with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) k from events where user_id is not null and ts is not null),
         f as (select event_id, user_id, ts begin_, k, 1::bigint window_no, 1::bigint n from e where k = 1

@@ -11,7 +11,8 @@ from kvasir.operators import chunk
 from kvasir.operators import score as S
 from kvasir.operators import store as O
 from kvasir.operators import tables as B
-from kvasir.plans import answer
+from kvasir.functions import text as T
+from kvasir.plans import answer, intent
 from kvasir.plans import score as plans
 from kvasir.sources.files import markdown_elements as parse
 from kvasir.sources.tables import table
@@ -124,7 +125,17 @@ QUERIES = {
 }
 
 _C = answer._CELLS
+_MODELS = intent._MODELS.format("title", T.NO_MODELS)
+_STEMS = lambda c: f"list_distinct(list_transform(regexp_extract_all(replace(lower({c}), 'ё', 'е'), '[а-яa-z0-9]{{3,}}'), lambda w: {T.sql_stem('w')}))"
 ORACLES = {
+    "sku_cascade": rf"""with p as (select distinct on (id) id, sku, groupId from products), g as (select distinct on (id) id, "name" from product_groups), d as (select doc_id, title from documents where title is not null),
+        a as (select distinct upper(s) sku from (select unnest(regexp_extract_all(upper(query), '[A-Z]{{2}}-[0-9]{{2}}(?:-[0-9]{{4}})?')) s from chat_history union all select sku from p where groupId is not null) where s is not null),
+        k as (select sku, nullif(regexp_replace(sku, '[^\p{{L}}\p{{N}}]', '', 'g'), '') kk from a), ex as (select a.sku, count(distinct doc_id) ex from a join (select doc_id, unnest({_MODELS}) m from d) on m = a.sku group by 1),
+        nm as (select nullif(regexp_replace(upper(p.sku), '[^\p{{L}}\p{{N}}]', '', 'g'), '') kk, regexp_replace(trim(g."name"), '^[0-9]+(\.[0-9]+)*\.?\s*', '') n from p join g on g.id = p.groupId),
+        gr as (select sku, count(distinct replace(lower(n), 'ё', 'е')) gn, min(n) n from k join nm using (kk) where n <> '' group by 1), ds as (select doc_id, {_STEMS('title')} t from d),
+        ma as (select sku, count(*) m from (select sku, {_STEMS('n')} s from gr where gn = 1) join ds on len(s) > 0 and len(list_intersect(s, t)) >= greatest(least(2, len(s)), ceil(len(s) * 0.6)) group by 1)
+        select a.sku, case when ex is not null then 'resolved' when gn is null then 'unknown' when gn > 1 then 'ambiguous' else 'resolved' end status, case when ex is not null then 'sku' when gn = 1 then 'group' end way,
+          coalesce(ex, case when gn = 1 then coalesce(m, 0) end, 0) documents from a left join ex using (sku) left join gr using (sku) left join ma using (sku)""",
     "pruned_tables": _C + """, e as (select doc_id, table_no, col, not bool_or(trim("name") = '' or regexp_matches(replace(lower(trim("name")), 'ё', 'е'), '^(колон|column)') or regexp_matches(trim("name"), '^[0-9]+$')
           or (length(trim("name")) <= 2 and not regexp_matches("name", '[A-Za-zА-Яа-яЁё]'))) or count(*) filter (trim("value") <> '') > 1 keep from named group by all),
         f as (select *, bool_or(keep) over (partition by doc_id, table_no) a from e) select doc_id, table_no, count(*) "columns" from f where keep or (not a and col < 3) group by all""",

@@ -103,6 +103,8 @@ ORACLES = {
     "stem_suffix": f"with t as (select distinct unnest({_RAW}) w from documents) select w word, {T.sql_stem('w')} stem from t",
     "model_codes": r"""with t as (select doc_id, unnest(list_distinct(regexp_extract_all(upper(text), '(?:^|[^A-Z0-9-])([A-Z]{2}-[0-9]{2}(?:-[0-9]{4})?)', 1))) code from documents)
         select code, count(*) documents from t group by all""",
+    "numeric_skus": r"""with t as (select doc_id, regexp_replace(text, '([^\p{L}\p{N}])', '\1\1', 'g') t from documents)
+        select doc_id, unnest(list_distinct(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}])([0-9]{4,8})(?:$|[^\p{L}\p{N}])', 1))) "number" from t""",
     "token_estimate": "select tokenCount, sum(greatest(1, ceil(length(content) / 4)))::bigint estimated, count(*) chunks from (select distinct id, content, tokenCount from document_chunks) where content is not null group by all",
     "section_titles": r"select distinct id, left(trim(regexp_replace(title, '\s+', ' ', 'g')), 300) title from sections",
     "section_paths": r"""with p as (select regexp_replace(replace(regexp_replace(sectionPath, '\.$', ''), ',', '.'), '[^0-9.]', '', 'g') b from document_chunks),
