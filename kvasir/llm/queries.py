@@ -130,6 +130,20 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
+# The calibrated gap: gaps by half powers of two, the emptiest place between the two largest heaps.
+_SEGMENTS = _CONVERSATIONS.rstrip() + """,
+t as (select s, id, c from r where coalesce(year(c) between 2020 and 2030, false)),
+gaps as (select date_diff('microsecond', lag(c) over (partition by s order by c, id), c) / 1e6 g from t),
+heaps as (select floor(log2(greatest(g, 1.0)) * 2)::int i, count(*) k from gaps where g is not null group by 1),
+steps as (select i, coalesce(k, 0) k from (select unnest(range(0, (select max(i) from heaps) + 1)) i) left join heaps using (i)),
+one as (select arg_max(i, (k, -i)) a from steps), two as (select arg_max(i, (k, i)) b from steps, one where i >= a + 2 and k > 0),
+valley as (select arg_max(i, (-k, i)) v from steps, one, two where i between a + 1 and b),
+cut_ as (select case when b is null then least(2592000, greatest(60, 10 * 2 ^ ((a + 1) / 2))) else least(2592000, greatest(60, 2 ^ ((v + 1) / 2))) end lim from one, two, valley),
+gone as (select s, n, case when date_diff('microsecond', lag(c) over (partition by s order by c, id), c) / 1e6 > lim then 1 else 0 end brk from n, cut_),
+seg as (select s, n, 1 + sum(brk) over (partition by s order by n) g from gone)
+select s session, g::bigint segment, 2 * count(*) messages, min(2 * n - 1) first_pos from seg group by all
+"""
 ORACLES = {
+    "p4_segments": _SEGMENTS,
     "p4_found": _CONVERSATIONS + "select s session, 2 * n - 1 + m pos, case m when 0 then 'user' else 'assistant' end \"role\", id from n, (values (0), (1)) v(m)",
 }
