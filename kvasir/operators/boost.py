@@ -50,7 +50,7 @@ def rules() -> list[tuple[str, Column, Column]]:
     asked = F.when(maker, F.array_union(c("q"), F.array(*map(F.lit, MAKER_STEMS)))).otherwise(F.array_distinct(c("q")))
     warranty = c("query").contains("гарант")
     overlap = F.size(F.filter("title", lambda t: F.array_contains(asked, t)))
-    share, asked_share = overlap / F.size("title"), overlap / F.greatest(F.size("q"), F.lit(1))
+    share, asked_share = overlap / F.greatest(F.size("title"), F.lit(1)), overlap / F.greatest(F.size("q"), F.lit(1))
     titled = (F.size("title") > 0) & (overlap > 0)
     own = distinctive(c("q"))
     in_title = F.exists(own, lambda t: F.array_contains(c("title"), t))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,20 +42,38 @@ def column_anchors(items: DataFrame, page: list[str], near: float = 12.0) -> Dat
     rows = items.where("x is not null").select(*page, "id", F.col("x").cast("double").alias("x")).dropDuplicates([*page, "id"])
     types = dict(rows.dtypes)
 
-    def place(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["x", "id"], kind="stable")
-        cols, mean, n, at = [], 0.0, 0, -1
-        for x in p["x"]:
-            if at < 0 or abs(x - mean) > near:
-                at, mean, n = at + 1, x, 1
-            else:
-                n += 1
-                mean += (x - mean) / n
-            cols.append(at)
-        return p.assign(col=cols)[[*page, "id", "col"]]
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, code in _whole_pages(parts, page):
+            cols, mean, n, at, last = [], 0.0, 0, -1, -1
+            for x, c in zip(p["x"].to_numpy(), code):
+                if c != last:
+                    last, at = c, -1
+                if at < 0 or abs(x - mean) > near:
+                    at, mean, n = at + 1, x, 1
+                else:
+                    n += 1
+                    mean += (x - mean) / n
+                cols.append(at)
+            yield p.assign(col=cols)[[*page, "id", "col"]]
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in page), f"id {types['id']}", "col bigint"])
-    return rows.groupBy(*page).applyInPandas(place, schema)
+    return rows.repartition(*page).sortWithinPartitions(*page, "x", "id").mapInPandas(place, schema)
+
+
+def _whole_pages(parts: Iterator[pd.DataFrame], page: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows that come sorted by page, in parts that don't cut a page, with a number for each page."""
+    rest = None
+    for p in parts:
+        p = p if rest is None or not len(rest) else pd.concat([rest, p])
+        if not len(p):
+            continue
+        code = p.groupby(page, sort=False, dropna=False).ngroup().to_numpy()
+        cut = int(np.searchsorted(code, code[-1]))  # the last page may go on
+        rest = p.iloc[cut:]
+        if cut:
+            yield p.iloc[:cut], code[:cut]
+    if rest is not None and len(rest):
+        yield rest, np.zeros(len(rest), np.int64)
 
 
 def touching_groups(boxes: DataFrame, page: list[str], tolerance: float = TOLERANCE) -> DataFrame:
@@ -64,9 +85,8 @@ def touching_groups(boxes: DataFrame, page: list[str], tolerance: float = TOLERA
     rows = boxes.where("x is not null and y is not null and width is not null and height is not null").select(*page, "id", "x", "y", "width", "height").dropDuplicates([*page, "id"])
     types = dict(rows.dtypes)
 
-    def group(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["x", "id"], kind="stable").reset_index(drop=True)
-        head = list(range(len(p)))
+    def heads(x: np.ndarray, y: np.ndarray, r: np.ndarray, b: np.ndarray) -> list[int]:
+        head = list(range(len(x)))
 
         def top(i: int) -> int:
             while head[i] != i:
@@ -75,20 +95,30 @@ def touching_groups(boxes: DataFrame, page: list[str], tolerance: float = TOLERA
             return i
 
         open_: list[int] = []
-        x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
-        r, b = x + p["width"].to_numpy(float), y + p["height"].to_numpy(float)
-        for i in range(len(p)):
+        for i in range(len(x)):
             open_ = [j for j in open_ if r[j] + tolerance >= x[i]]
             for j in open_:
                 if y[j] <= b[i] + tolerance and y[i] <= b[j] + tolerance:
                     head[top(i)] = top(j)
             open_.append(i)
-        root = [top(i) for i in range(len(p))]
-        least = p["id"].groupby(pd.Series(root)).transform("min")
-        return p.assign(grid=least)[[*page, "id", "grid"]]
+        return [top(i) for i in range(len(x))]
+
+    def group(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, code in _whole_pages(parts, page):
+            x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
+            r, b, ids = x + p["width"].to_numpy(float), y + p["height"].to_numpy(float), p["id"].to_numpy()
+            begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            least = []
+            for lo, hi in zip(begin, [*begin[1:], len(p)]):
+                root = heads(x[lo:hi], y[lo:hi], r[lo:hi], b[lo:hi])
+                first: dict[int, int] = {}
+                for t, i in zip(root, ids[lo:hi]):
+                    first[t] = min(i, first.get(t, i))
+                least += [first[t] for t in root]
+            yield p.assign(grid=least)[[*page, "id", "grid"]]
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in page), f"id {types['id']}", f"grid {types['id']}"])
-    return rows.groupBy(*page).applyInPandas(group, schema)
+    return rows.repartition(*page).sortWithinPartitions(*page, "x", "id").mapInPandas(group, schema)
 
 
 def grid_tables(lines: DataFrame, words: DataFrame, page: list[str], tolerance: float = TOLERANCE) -> DataFrame:

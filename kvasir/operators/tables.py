@@ -62,8 +62,9 @@ def pair_table(text: Column, force: bool = False) -> Column:
     ls = F.filter(_lines(text), lambda x: x.rlike(PAIR))
     key, value = (lambda x: F.trim(F.regexp_extract(x, PAIR, 1))), (lambda x: F.trim(F.regexp_extract(x, PAIR, 2)))
     n = F.size(ls)
-    mean = lambda of: F.aggregate(F.transform(ls, lambda x: F.length(of(x))), F.lit(0), lambda s, x: s + x) / n
-    figures = F.size(F.filter(ls, lambda x: value(x).rlike("[0-9%°]"))) / n
+    some = F.greatest(n, F.lit(1))
+    mean = lambda of: F.aggregate(F.transform(ls, lambda x: F.length(of(x))), F.lit(0), lambda s, x: s + x) / some
+    figures = F.size(F.filter(ls, lambda x: value(x).rlike("[0-9%°]"))) / some
     sound = F.lit(force) | ((figures >= 0.4) & (mean(key) <= 35) & (mean(value) <= 90))
     rows = F.array_join(F.transform(ls, lambda x: _row(F.array(key(x), value(x)))), "\n")
     return F.when((n >= 3) & sound, F.concat(F.lit("| Параметр | Значение |\n| --- | --- |\n"), rows))

@@ -78,6 +78,8 @@ def test_boosts_and_fusion(spark):
     r = B.with_boosts(spark.createDataFrame([tuple(row[k.split()[0]] for k in schema.split(", "))], schema)).first()
     assert r.reasons == ["section_match", "title_match", "title_coverage", "distinctive_title_hit", "installation_instruction_priority", "term_overlap"]
     assert abs(r.boost - (0.1 + 0.08 + 0.32 + 0.28 + 0.2 + 0.05)) < 1e-9
+    bare = {**row, "title": [], "q": [], "terms": []}
+    assert B.with_boosts(spark.createDataFrame([tuple(bare[k.split()[0]] for k in schema.split(", "))], schema)).first().reasons == ["installation_instruction_priority"]
     f = spark.range(1).select(B.fused(F.lit(0.5), F.lit(1.0), F.lit(5.0), F.lit(True)).alias("a"), B.fused(F.lit(None).cast("double"), F.lit(1.0), F.lit(-5.0), F.lit(False)).alias("b")).first()
     assert abs(f.a - (0.3 + 0.4 + 0.85)) < 1e-9 and abs(f.b - (0.85 - 0.5)) < 1e-9
     assert B.normal_weights(3, 1) == (0.75, 0.25) and B.normal_weights(0, 0) == (0.6, 0.4)
