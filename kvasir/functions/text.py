@@ -36,9 +36,14 @@ def fold(text: Column) -> Column:
 def stem(token: Column) -> Column:
     """A token without the first ending of the list that leaves at least three letters.
 
-    The list runs from long to short, so that is the longest ending there is room for, which one pattern finds.
+    The list runs from long to short, so endings of one length are looked up in a set, the longest first.
     """
-    return F.regexp_replace(token, f"^(.{{{LEAST_STEM},}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
+    n, found = F.length(token), None
+    for size in sorted({len(s) for s in SUFFIXES}, reverse=True):
+        ends = (n >= LEAST_STEM + size) & F.substring(token, -size, size).isin(*(s for s in SUFFIXES if len(s) == size))
+        rest = F.substring(token, F.lit(1), n - size)
+        found = F.when(ends, rest) if found is None else found.when(ends, rest)
+    return found.otherwise(token)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -46,8 +51,7 @@ def raw_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(fold(text), F.lit(TOKEN), 0)
     bare = F.regexp_extract_all(fold(text), F.lit("[a-z0-9/+-]+"), 0)
     words = F.when(text.rlike(r"\p{L}"), words).otherwise(bare)
-    stop = F.array(*map(F.lit, stopwords()))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords()))  # looked up in a set
 
 
 def tokens(text: Column) -> Column:
