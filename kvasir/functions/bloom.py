@@ -32,10 +32,15 @@ def bloom_filter(df: DataFrame, column: str) -> bytes | None:
 
 
 def might_contain(df: DataFrame, bloom: bytes | None, key: Column) -> Column:
-    """False if the key is surely not in the filter; null for a null key."""
+    """False if the key is surely not in the filter; null for a null key.
+
+    The filter is the value of a subquery: as a literal its 8 MB would be written out in hexadecimal in each text that Spark
+    makes of a plan, once for every place where it is tested, and the driver keeps many of these.
+    """
     if bloom is None:
         return F.when(key.isNotNull(), F.lit(False))
-    jvm = df.sparkSession._jvm
-    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
-    return Column(utils.column(test(utils.expression(F.lit(bloom)._jc), utils.expression(key.cast("bigint")._jc))))
+    spark = df.sparkSession
+    utils = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils
+    test = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
+    held = spark.createDataFrame([(bytearray(bloom),)], "held binary").scalar()
+    return Column(utils.column(test(utils.expression(held._jc), utils.expression(key.cast("bigint")._jc))))
