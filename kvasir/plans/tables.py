@@ -58,8 +58,9 @@ def nearest_tables(spark, d):
 
 
 def answer_sources(spark, d):
-    texts = table(spark, d, "document_chunks").select("id", "pageNumber", "content").join(F.broadcast(plans._section_hits(spark, d).select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
-    return B.answer_sources(answer._hits(spark, d).join(texts, "id"), 80)
+    hits = answer._hits(spark, d)
+    texts = plans._of_hits(hits, table(spark, d, "document_chunks").select("id", "pageNumber", "content"))
+    return B.answer_sources(hits.join(texts, "id"), 80)
 
 
 def sku_cascade(spark, d):
