@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kvasir.functions import intent as I
 from kvasir.functions.text import fold, models, stem
+from kvasir.operators.joins import skew_left_join
+
+SLICE = 512  # keys that are written out together
 
 # Headings that don't own a product, and families of products by their words.
 NOT_OWNER = "характеристик|принадлежност|аксессуар|размер|таблиц|ниппель|трубка|монтаж"
@@ -116,20 +119,49 @@ def assortment(questions: DataFrame, entries: DataFrame) -> DataFrame:
     return pairs.where(fits).select("query_id", "name", "kind").distinct()
 
 
+def _stem_sets(df: DataFrame, key: str, text: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """``key, set``: the distinct stems of three letters or more of each text, as one string; rows without any are left out."""
+    words = F.filter(F.regexp_extract_all(fold(F.col(text)), F.lit("[а-яa-z0-9]+"), 0), lambda w: (F.length(w) >= 3) & ~w.isin(*(ignored or ("",))))
+    return df.select(key, F.array_join(F.array_distinct(F.transform(words, stem)), " ").alias("set")).where(F.col("set") != "").distinct()
+
+
+def _matching_sets(own: DataFrame, titles: DataFrame) -> DataFrame:
+    """``own_set, title_set, shared``: the distinct sets of stems of which the second has enough of the first. Stems meet in a join."""
+    left, right = own.select(F.col("set").alias("own_set")).distinct(), titles.select(F.col("set").alias("title_set")).distinct()
+    left = left.withColumn("s", F.split("own_set", " ")).select("own_set", F.size("s").alias("n"), F.explode("s").alias("s"))
+    counted = left.join(right.select("title_set", F.explode(F.split("title_set", " ")).alias("s")), "s").groupBy("own_set", "title_set", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.where(F.col("shared") >= F.greatest(F.least(F.lit(2), F.col("n")), F.ceil(F.col("n") * 0.6))).select("own_set", "title_set", "shared")
+
+
+def _slices(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``name_set, name_slot, name_keys``: the keys of each set in slices of about :data:`SLICE`, so that no task gathers a frequent set."""
+    counts = rows.groupBy("set").agg(F.count(F.lit(1)).alias("_members"))
+    slot = F.pmod(F.xxhash64(key), F.ceil(F.col("_members") / SLICE)).alias(f"{name}_slot")
+    dealt = skew_left_join(rows, counts, "set").select(F.col("set").alias(f"{name}_set"), slot, key)
+    return dealt.groupBy(f"{name}_set", f"{name}_slot").agg(F.collect_list(key).alias(f"{name}_keys"))
+
+
 def title_matches(groups: DataFrame, documents: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
     """``id, doc_id, shared``: documents (``doc_id, title``) whose title has enough of the stems of a group's name (``id, name``).
 
-    Enough are 60 % of its stems of three letters or more, at least two or all of them. Stems meet in a join.
+    Enough are 60 % of its stems of three letters or more, at least two or all of them. Names and titles of the same stems
+    are compared once; what matches is written out from pairs of slices, each at most about :data:`SLICE` squared rows, so
+    that the pairs themselves are not shuffled.
     """
-
-    def stems(df: DataFrame, key: str, text: str) -> DataFrame:
-        words = F.filter(F.regexp_extract_all(fold(F.col(text)), F.lit("[а-яa-z0-9]+"), 0), lambda w: (F.length(w) >= 3) & ~w.isin(*(ignored or ("",))))
-        return df.select(key, F.array_distinct(F.transform(words, stem)).alias("s")).distinct()
-
-    own = stems(groups, "id", "name").where(F.size("s") > 0).select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
-    hits = own.join(stems(documents, "doc_id", "title").select("doc_id", F.explode("s").alias("s")), "s")
-    counted = hits.groupBy("id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where(F.col("shared") >= F.greatest(F.least(F.lit(2), F.col("n")), F.ceil(F.col("n") * 0.6))).select("id", "doc_id", "shared")
+    own, titles = _stem_sets(groups, "id", "name", ignored), _stem_sets(documents, "doc_id", "title", ignored)
+    pairs = _matching_sets(own, titles).join(_slices(own, "id", "own"), "own_set").join(_slices(titles, "doc_id", "title"), "title_set")
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "own_set", "own_slot", "title_set", "title_slot")
+    each = pairs.select(F.explode("own_keys").alias("id"), "title_keys", "shared")
+    return each.select("id", F.explode("title_keys").alias("doc_id"), "shared")
+
+
+def title_match_counts(groups: DataFrame, documents: DataFrame) -> DataFrame:
+    """``id, matched``: how many documents :func:`title_matches` finds for each group with any, counted by sets of stems."""
+    own, titles = _stem_sets(groups, "id", "name"), _stem_sets(documents, "doc_id", "title")
+    members = titles.groupBy(F.col("set").alias("title_set")).agg(F.count(F.lit(1)).alias("n"))
+    counts = _matching_sets(own, titles).join(members, "title_set").groupBy(F.col("own_set").alias("set")).agg(F.sum("n").alias("n"))
+    return skew_left_join(own, counts, "set").where("n is not null").groupBy("id").agg(F.sum("n").alias("matched"))
 
 
 def applicable(asked: DataFrame, matches: DataFrame, bindings: DataFrame) -> DataFrame:
