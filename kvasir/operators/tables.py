@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvasir.functions.text import fold, models, raw_tokens, section_name, sku_key, stem
-from kvasir.operators.resolve import title_matches
+from kvasir.operators.resolve import title_match_counts
 
 PAIR = r"^([^:–—-]+?)\s*[:–—-]\s*(.+)$"
 BULLET = r"(?:[0-9]+[.)]|[-*•●◦○■▪□◼◻◆♦◾]+)\s+"
@@ -175,7 +175,7 @@ def sku_cascade(asked: DataFrame, products: DataFrame, documents: DataFrame) ->
     named = products.where("group_name is not null").select(sku_key(F.col("sku")).alias("key"), section_name(F.col("group_name")).alias("name")).where("name is not null")
     groups = own.withColumn("key", sku_key(F.col("sku"))).join(named, "key").groupBy("sku").agg(F.countDistinct(fold(F.col("name"))).alias("groups"), F.min("name").alias("name"))
     single = groups.where("groups = 1").select(F.col("sku").alias("id"), "name")
-    matched = title_matches(single, documents).groupBy(F.col("id").alias("sku")).agg(F.count(F.lit(1)).alias("matched"))
+    matched = title_match_counts(single, documents).withColumnRenamed("id", "sku")
     both = own.join(exact, "sku", "left").join(groups.drop("name"), "sku", "left").join(matched, "sku", "left")
     status = F.when(F.col("exact").isNotNull(), "resolved").when(F.col("groups").isNull(), "unknown").when(F.col("groups") > 1, "ambiguous").otherwise("resolved")
     way = F.when(F.col("exact").isNotNull(), "sku").when(F.col("groups") == 1, "group")
